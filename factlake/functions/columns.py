@@ -57,7 +57,7 @@ def null_if_marker(c: ColumnOrName, markers: Iterable[str]) -> Column:
 def parse_yyyymmdd(c: ColumnOrName, guard_range: bool = True) -> Column:
     """``YYYYMMDD`` text -> date; malformed text or out-of-range -> NULL."""
     c = F.trim(_c(c))
-    d = F.when(c.rlike(r"^[0-9]{8}$"), F.try_to_date(c, F.lit("yyyyMMdd")))
+    d = F.when(c.rlike(r"^[0-9]{8}$"), F.try_to_date(c, "yyyyMMdd"))
     if guard_range:
         d = F.when(d.between(F.lit(MIN_DATE), F.lit(MAX_DATE)), d)
     return d
