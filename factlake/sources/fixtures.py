@@ -186,6 +186,7 @@ SQL_VIEWS = {
         CASE WHEN o_orderkey % 50 = 0 THEN NULL
              ELSE make_date(CAST(year(o_orderdate) AS INTEGER) - 1, 12, 31) END AS period,
         CAST(o_orderdate AS DATE) AS filed,
+        CAST(o_orderdate AS TIMESTAMP) AS accepted,
         CAST(year(o_orderdate) AS VARCHAR) || 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter
     FROM orders)""",
     "num": f"""num AS (
@@ -215,7 +216,10 @@ SQL_VIEWS = {
         CASE l_returnflag WHEN 'A' THEN 'IS' WHEN 'N' THEN 'BS' WHEN 'R' THEN 'CF' END AS stmt,
         {_sql_tag_expr('l_partkey')} AS tag,
         'us-gaap/' || CAST(2022 + l_suppkey % 3 AS VARCHAR) AS version,
-        CAST(CASE WHEN l_tax = 0 THEN 1 ELSE 0 END AS TINYINT) AS negating
+        CAST(CASE WHEN l_tax = 0 THEN 1 ELSE 0 END AS TINYINT) AS negating,
+        CAST(0 AS TINYINT) AS inpth,
+        'H' AS rfile,
+        'Label ' || ({_sql_tag_expr('l_partkey')}) AS plabel
     FROM lineitem)""",
 }
 
