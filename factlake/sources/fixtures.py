@@ -153,13 +153,56 @@ def fixture_pre(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> FilingTables:
-    """The four filing tables as lazy DataFrames over the driver's parquet."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    num = fixture_num(lineitem)
-    return FilingTables(sub=fixture_sub(orders), num=num, tag=fixture_tag(num),
-                        pre=fixture_pre(lineitem))
+class _LazyFixtures:
+    """Fixture views built on first use (a query touching only ``sub`` never
+    plans the others)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir, self._cache = spark, sf_dir, {}
+
+    def _read(self, name: str) -> DataFrame:
+        key = "_" + name
+        if key not in self._cache:
+            self._cache[key] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._cache[key]
+
+    def _get(self, name: str, build) -> DataFrame:
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    @property
+    def sub(self) -> DataFrame:
+        return self._get("sub", lambda: fixture_sub(self._read("orders")))
+
+    @property
+    def num(self) -> DataFrame:
+        return self._get("num", lambda: fixture_num(self._read("lineitem")))
+
+    @property
+    def tag(self) -> DataFrame:
+        return self._get("tag", lambda: fixture_tag(self.num))
+
+    @property
+    def pre(self) -> DataFrame:
+        return self._get("pre", lambda: fixture_pre(self._read("lineitem")))
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {"sub": self.sub, "num": self.num, "tag": self.tag, "pre": self.pre}
+
+
+_FIXTURES: dict[tuple[int, str], _LazyFixtures] = {}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> _LazyFixtures:
+    """The four filing tables as lazy DataFrames over the driver's parquet.
+
+    Plans are built once per (session, directory) and reused: DataFrames are
+    immutable plans, so sharing them between queries is safe."""
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _FIXTURES:
+        _FIXTURES[key] = _LazyFixtures(spark, sf_dir)
+    return _FIXTURES[key]
 
 
 # --------------------------------------------------------------------------
