@@ -62,15 +62,18 @@ def amendment_pairs(originals: DataFrame, amendments: DataFrame,
             .rowsBetween(Window.unboundedPreceding, -1))
     chosen = (first.withColumn("_before", F.coalesce(F.sum("_pairs").over(wcum), F.lit(0)))
               .where(F.col("_before") < k).select("days_between", *on))
-    cell_dates = date_pairs.join(chosen, ["days_between", *on]).select(
+    # Size bounds for the broadcasts below: ``chosen`` has at most k rows; a
+    # chosen cell fixes the gap, so its date pairs are at most the distinct
+    # filing dates of one (cik, period) - a calendar bound, not a data one.
+    cell_dates = date_pairs.join(F.broadcast(chosen), ["days_between", *on]).select(
         "days_between", *on, "filed_original", "filed_amended")
 
-    o_rows = originals.join(cell_dates.select("days_between", *on, "filed_original").distinct(),
-                            [*on, "filed_original"])
+    o_keys = F.broadcast(cell_dates.select("days_between", *on, "filed_original").distinct())
+    o_rows = originals.join(o_keys, [*on, "filed_original"])
     wo = Window.partitionBy("days_between", *on).orderBy("adsh_original")
     o_rows = o_rows.withColumn("_ro", F.row_number().over(wo)).where(F.col("_ro") <= k).drop("_ro")
-    a_rows = amendments.join(cell_dates.select(*on, "filed_amended").distinct(),
-                             [*on, "filed_amended"])
+    a_keys = F.broadcast(cell_dates.select(*on, "filed_amended").distinct())
+    a_rows = amendments.join(a_keys, [*on, "filed_amended"])
     wa = Window.partitionBy(*on, "filed_amended").orderBy("adsh_amended")
     a_rows = a_rows.withColumn("_ra", F.row_number().over(wa)).where(F.col("_ra") <= k).drop("_ra")
 

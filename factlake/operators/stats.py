@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.session import ensure_checkpoint_dir
+
 # --------------------------------------------------------------------------
 # Exact PERCENTILE_CONT without gathering a group into one task.
 # --------------------------------------------------------------------------
@@ -44,15 +46,27 @@ def value_bucket(v: Column) -> Column:
             .otherwise(_CLASS + (_CLASS - 1 - slot))).cast("long")
 
 
+# Targets (one row per group and wanted rank) are broadcast to the value
+# scan when there are at most this many; beyond it the join is a shuffle join.
+TARGET_BROADCAST_ROWS = 2_000_000
+
+
 def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
                 probs: Sequence[float], names: Sequence[str],
-                count_name: str | None = None) -> DataFrame:
+                count_name: str | None = None,
+                broadcast_rows: int = TARGET_BROADCAST_ROWS) -> DataFrame:
     """Exact ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per group.
 
     Linear interpolation between the order statistics ``floor(p*(n-1))`` and
     ``ceil(p*(n-1))`` (0-based), computed in double; NULL values are ignored.
     Returns ``group`` + ``names`` (+ ``count_name`` = n if given). Groups whose
     values are all NULL are absent.
+
+    The small target table (2 x len(probs) rows per group) is materialised
+    with a reliable ``checkpoint()`` and counted; only when the count is
+    within ``broadcast_rows`` is it broadcast to the value scan, so the scan
+    is never shuffled for this join (and a bucket holding a large share of
+    the rows never lands in one task). Beyond it, a shuffle join.
     """
     group = list(group)
     v = F.col(value) if isinstance(value, str) else value
@@ -84,6 +98,10 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
 
     # Step 2: rows of the target buckets only, counted per distinct value.
     want = located.select(*group, "_b", "_i", "_side", "_r", "_below", "_pos", "_n")
+    ensure_checkpoint_dir(df.sparkSession)
+    want = want.checkpoint(eager=True)
+    if want.count() <= broadcast_rows:
+        want = F.broadcast(want)
     cand = (base.join(want, [*group, "_b"])
             .groupBy(*group, "_i", "_side", "_r", "_below", "_pos", "_n", "_v")
             .agg(F.count(F.lit(1)).alias("_vc")))
