@@ -596,6 +596,41 @@ def reporting_multiplicity_q(t):
     return r.select(F.round("avg_reports", 6).alias("avg_reports"), "max_reports", "series_points")
 
 
+def _dq_sql() -> str:
+    from factlake.schema import REQUIRED
+    parts = ["""SELECT 'orphan_facts' AS "check", 'num' AS table_name,
+       CAST(COUNT(*) AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS expected
+FROM num n WHERE NOT EXISTS (SELECT 1 FROM sub s WHERE s.adsh = n.adsh)"""]
+    for tb in ("sub", "tag", "num", "pre"):
+        k = ", ".join(KEYS[tb])
+        parts.append(f"""SELECT 'duplicate_keys', '{tb}', CAST(COUNT(*) FILTER (WHERE n > 1) AS DOUBLE), 0.0
+FROM (SELECT {k}, COUNT(*) AS n FROM {tb} GROUP BY {k}) g""")
+        parts.append(f"SELECT 'row_count', '{tb}', CAST(COUNT(*) AS DOUBLE), NULL FROM {tb}")
+        for c in REQUIRED[tb]:
+            parts.append(f"SELECT 'null:{c}', '{tb}', CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE), 0.0 FROM {tb}")
+    parts.append("""SELECT 'custom_tag_share', 'tag', CAST(SUM(custom) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), NULL FROM tag""")
+    parts.append("""SELECT 'multi_version_tags', 'tag', CAST(COUNT(*) AS DOUBLE), NULL
+FROM (SELECT tag FROM tag GROUP BY tag HAVING COUNT(DISTINCT version) > 1) g""")
+    parts.append("""SELECT 'avg_reports_per_value', 'num', ROUND(AVG(n), 6), NULL
+FROM (SELECT s.cik, year(n.ddate) AS fy, n.tag, COUNT(*) AS n
+      FROM num n JOIN sub s ON s.adsh = n.adsh GROUP BY 1, 2, 3) g""")
+    parts.append(f"""SELECT 'filings_missing_net_income', 'sub', CAST(COUNT(*) AS DOUBLE), NULL
+FROM sub s WHERE s.form = '10-K' AND NOT EXISTS (SELECT 1 FROM num n WHERE n.adsh = s.adsh
+    AND n.tag IN ({_in(CONCEPTS['net_income_any'])}) AND {CA})""")
+    body = "\nUNION ALL\n".join(parts)
+    return sql_with("sub", "num", "tag", "pre", extra=f"report AS ({body})") + """
+SELECT *, CASE WHEN expected IS NULL THEN NULL WHEN expected = 0 THEN value = 0
+               ELSE abs(value - expected) <= 0.005 * expected END AS ok
+FROM report"""
+
+
+@_register("dq_report", _dq_sql())
+def dq_report_q(t):
+    """Q1-Q8 / §3.3: the post-load data-quality report."""
+    from factlake.plans.dq import dq_report
+    return dq_report(t)
+
+
 def operator_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -230,6 +230,11 @@ SQL_VIEWS = {
              ELSE make_date(CAST(year(o_orderdate) AS INTEGER) - 1, 12, 31) END AS period,
         CAST(o_orderdate AS DATE) AS filed,
         CAST(o_orderdate AS TIMESTAMP) AS accepted,
+        CAST(0 AS TINYINT) AS wksi,
+        CAST(0 AS TINYINT) AS prevrpt,
+        CAST(0 AS TINYINT) AS detail,
+        CAST(o_orderkey AS VARCHAR) || '.xml' AS instance,
+        1 AS nciks,
         CAST(year(o_orderdate) AS VARCHAR) || 'q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter
     FROM orders)""",
     "num": f"""num AS (
