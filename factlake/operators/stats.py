@@ -110,17 +110,24 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     picked = (cand.withColumn("_vcum", F.col("_below") + F.sum("_vc").over(wv))
               .where((F.col("_vcum") - F.col("_vc") <= F.col("_r")) & (F.col("_r") < F.col("_vcum"))))
 
-    per_prob = (picked.groupBy(*group, "_i", "_pos", "_n")
-                .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_lo"),
-                     F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_hi")))
-    frac = F.col("_pos") - F.floor(F.col("_pos"))
-    per_prob = per_prob.withColumn(
-        "_p", F.when(frac == 0, F.col("_lo"))
-        .otherwise(F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))))
-    aggs = [F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(n) for i, n in enumerate(names)]
+    # One grouped pass picks, per probability, the lo/hi order statistics
+    # and the position; the interpolation is then a projection.
+    def pick(i, side):
+        return F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_v")))
+
+    aggs = [F.max("_n").alias("_n")]
+    for i in range(len(probs)):
+        aggs += [pick(i, "lo").alias(f"_lo{i}"), pick(i, "hi").alias(f"_hi{i}"),
+                 F.max(F.when(F.col("_i") == i, F.col("_pos"))).alias(f"_pos{i}")]
+    per_group = picked.groupBy(*group).agg(*aggs)
+    cols = []
+    for i, name in enumerate(names):
+        lo, hi, pos = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
+        frac = pos - F.floor(pos)
+        cols.append(F.when(frac == 0, lo).otherwise(lo + frac * (hi - lo)).alias(name))
     if count_name:
-        aggs.append(F.max("_n").alias(count_name))
-    return per_prob.groupBy(*group).agg(*aggs)
+        cols.append(F.col("_n").alias(count_name))
+    return per_group.select(*group, *cols)
 
 
 # --------------------------------------------------------------------------
