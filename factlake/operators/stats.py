@@ -102,7 +102,13 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     want = want.checkpoint(eager=True)
     if want.count() <= broadcast_rows:
         want = F.broadcast(want)
-    cand = (base.join(want, [*group, "_b"])
+    # NULL is a group of its own (as in GROUP BY): join the group null-safely.
+    b, w = base.alias("b"), want.alias("w")
+    cond = ([F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in group]
+            + [F.col("b._b") == F.col("w._b")])
+    cand = (b.join(w, cond)
+            .select(*[F.col(f"b.{c}") for c in group], F.col("b._v"),
+                    *[F.col(f"w.{c}") for c in ("_i", "_side", "_r", "_below", "_pos", "_n")])
             .groupBy(*group, "_i", "_side", "_r", "_below", "_pos", "_n", "_v")
             .agg(F.count(F.lit(1)).alias("_vc")))
     wv = (Window.partitionBy(*group, "_i", "_side").orderBy("_v")

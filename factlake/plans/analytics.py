@@ -47,10 +47,16 @@ def sectors(t, limit: int = 25) -> DataFrame:
     return top_k(g, [F.desc("companies"), F.asc("sic")], limit)
 
 
-def top_filers(t, limit: int = 20) -> DataFrame:
-    """Companies with the most filings (``latest_name`` = greatest name text)."""
+def top_filers(t, limit: int = 20, latest_name: str = "max") -> DataFrame:
+    """Companies with the most filings.
+
+    ``latest_name="max"`` is the published ``MAX(name)`` (the greatest name
+    text); ``"filed"`` takes the name on the most recently filed submission.
+    """
+    name = (F.max("name") if latest_name == "max"
+            else F.max_by("name", F.struct("filed", "adsh")))
     g = t.sub.groupBy("cik").agg(
-        F.max("name").alias("latest_name"), F.count(F.lit(1)).alias("filings"),
+        name.alias("latest_name"), F.count(F.lit(1)).alias("filings"),
         F.countDistinct("form").alias("form_types"),
         F.min("filed").alias("first_filed"), F.max("filed").alias("last_filed"))
     return top_k(g, [F.desc("filings"), F.asc("cik")], limit)
@@ -126,20 +132,36 @@ def top_standard_tags(t, limit: int = 25) -> DataFrame:
     return top_k(g, [F.desc("occurrences"), F.asc("tag")], limit)
 
 
-def revenue_distribution(t, form: str = FORM_10K, tags: Sequence[str] = REVENUE_TAGS) -> DataFrame:
+def revenue_distribution(t, form: str = FORM_10K, tags: Sequence[str] = REVENUE_TAGS,
+                         by_version: bool = True, dedup: bool = False) -> DataFrame:
     """Reported annual revenue facts of 10-K filings per fact year and
-    taxonomy version: count, exact median, mean, total (not deduplicated)."""
-    facts = (consolidated_annual(t.num, tags=tags, positive=True)
-             .select("adsh", fiscal_year("ddate").alias("fiscal_year"),
-                     F.col("version").alias("taxonomy_version"), "value"))
-    facts = facts.join(t.sub.where(F.col("form") == form).select("adsh"), "adsh")
-    keys = ["fiscal_year", "taxonomy_version"]
+    taxonomy version: count, exact median, mean, total.
+
+    As published this is *not* deduplicated and groups by taxonomy version.
+    ``dedup=True`` first keeps the latest-filed value per (cik, year) (the
+    annual series the header describes); ``by_version=False`` groups by year
+    only (then ``taxonomy_version`` is NULL).
+    """
+    if dedup:
+        facts = filing_facts(t.sub, t.num, [form], tags, positive=True)
+        facts = latest_value(facts, ["cik", "fy"])
+    else:
+        facts = (consolidated_annual(t.num, tags=tags, positive=True)
+                 .select("adsh", "ddate", "version", "value"))
+        facts = facts.join(t.sub.where(F.col("form") == form).select("adsh"), "adsh")
+    facts = facts.select(fiscal_year("ddate").alias("fiscal_year"),
+                         F.col("version").alias("taxonomy_version"), "value")
+    keys = ["fiscal_year", "taxonomy_version"] if by_version else ["fiscal_year"]
     agg = facts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("filings_reporting"),
         to_decimal(F.avg("value"), 28, 2).alias("mean_revenue"),
         to_decimal(F.sum("value"), 28, 0).alias("total_revenue"))
     med = percentiles(facts, keys, "value", [0.5], ["median_revenue"])
-    return (agg.join(med, keys)
+    out = agg.join(med, keys)
+    if not by_version:
+        out = out.withColumn("taxonomy_version", F.lit(None).cast("string"))
+        keys = ["fiscal_year", "taxonomy_version"]
+    return (out
             .select(*keys, "filings_reporting",
                     to_decimal("median_revenue", 28, 2).alias("median_revenue"),
                     "mean_revenue", "total_revenue")

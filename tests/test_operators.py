@@ -196,3 +196,24 @@ def test_hhi_and_top_share(spark):
     s = topn_share(df, ["sic"], "revenue", 2).first()
     assert s["top_share"] == pytest.approx(0.8)
     assert hhi(df, ["sic"], "revenue", 6).count() == 0   # too few members
+
+
+def test_percentiles_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    got = {r["g"]: r["m"] for r in percentiles(df, ["g"], "v", [0.5], ["m"]).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+
+
+def test_revenue_distribution_options(spark):
+    from factlake.plans.analytics import revenue_distribution
+    from factlake.sources.fixtures import fixture_tables
+
+    t = fixture_tables(spark, "/root/testdata/sf0.001")
+    by_year = revenue_distribution(t, by_version=False).collect()
+    assert by_year and all(r["taxonomy_version"] is None for r in by_year)
+    per_version = revenue_distribution(t).collect()
+    assert sum(r["filings_reporting"] for r in by_year) == sum(
+        r["filings_reporting"] for r in per_version)
+    deduped = revenue_distribution(t, dedup=True, by_version=False).collect()
+    assert sum(r["filings_reporting"] for r in deduped) <= sum(
+        r["filings_reporting"] for r in by_year)
