@@ -55,9 +55,10 @@ def null_if_marker(c: ColumnOrName, markers: Iterable[str]) -> Column:
 
 
 def parse_yyyymmdd(c: ColumnOrName, guard_range: bool = True) -> Column:
-    """``YYYYMMDD`` text -> date; malformed text or out-of-range -> NULL."""
+    """``YYYYMMDD`` text -> date; malformed text or out-of-range -> NULL
+    (7-digit text such as ``2024011`` is rejected)."""
     c = F.trim(_c(c))
-    d = F.when(c.rlike(r"^[0-9]{8}$"), F.try_to_date(c, "yyyyMMdd"))
+    d = F.when((F.length(c) == 8) & c.try_cast("int").isNotNull(), F.try_to_date(c, "yyyyMMdd"))
     if guard_range:
         d = F.when(d.between(F.lit(MIN_DATE), F.lit(MAX_DATE)), d)
     return d
@@ -72,21 +73,17 @@ def parse_timestamp(c: ColumnOrName) -> Column:
 def parse_int(c: ColumnOrName, type_name: str = "bigint") -> Column:
     """Text -> integer type, non-numeric or out-of-range -> NULL.
 
-    Whole-number text written with a fractional zero part ("4.0") is accepted
-    the way a float parse followed by an integer cast would accept it.
+    Plain integer text is parsed directly; only text that is not (e.g. "4.0")
+    takes the decimal route, where a whole number with a zero fraction is
+    accepted the way a float parse followed by an integer cast accepts it.
     """
     c = F.trim(_c(c))
     as_dec = c.try_cast("decimal(38,10)")
-    whole = F.when(as_dec == F.floor(as_dec), as_dec)
-    return whole.try_cast(type_name)
+    whole = F.when(as_dec == F.floor(as_dec), as_dec).try_cast(type_name)
+    return F.coalesce(c.try_cast(type_name), whole)
 
 
 def parse_decimal(c: ColumnOrName, precision: int = 28, scale: int = 4) -> Column:
-    """Text -> decimal(p,s) (exact, half-up); malformed -> NULL."""
-    c = F.trim(_c(c))
-    # try_cast handles plain and scientific notation; route through a wide
-    # decimal first so "2.50E7" keeps exact digits.
-    wide = c.try_cast("double")
-    exact = c.try_cast(f"decimal(38,{scale + 6})")
-    v = F.coalesce(exact, wide.try_cast(f"decimal(38,{scale + 6})"))
-    return v.try_cast(f"decimal({precision},{scale})")
+    """Text -> decimal(p,s): exact, half-up rounding; plain or scientific
+    notation ("2.50E7"); malformed or too large -> NULL."""
+    return F.trim(_c(c)).try_cast(f"decimal({precision},{scale})")
