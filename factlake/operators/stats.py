@@ -46,15 +46,50 @@ def value_bucket(v: Column) -> Column:
             .otherwise(_CLASS + (_CLASS - 1 - slot))).cast("long")
 
 
+def fine_bucket(v: Column) -> Column:
+    """Second-level key inside a ``value_bucket``: the mantissa scaled to 32
+    bits (relative width 2^-32), order-preserving within one bucket."""
+    u = F.abs(v)
+    e = F.floor(F.log2(u))
+    f = F.coalesce(F.when(e.between(-1000, 1000),
+                          F.floor(u * F.pow(F.lit(2.0), -e) * F.lit(float(1 << 32)))), F.lit(0))
+    return F.when(v > 0, f).when(v == 0, F.lit(0)).otherwise(-f).cast("long")
+
+
 # Targets (one row per group and wanted rank) are broadcast to the value
 # scan when there are at most this many; beyond it the join is a shuffle join.
 TARGET_BROADCAST_ROWS = 2_000_000
+# A located bucket holding more rows than this is narrowed by a second
+# bucketing level before its distinct values are walked.
+REFINE_ROWS = 5_000_000
+
+_TARGET = ["_i", "_side", "_r", "_below", "_pos", "_n"]
+
+
+def _materialise(want: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Reliable checkpoint of a small target table, broadcast if its counted
+    size allows."""
+    ensure_checkpoint_dir(want.sparkSession)
+    want = want.checkpoint(eager=True)
+    return F.broadcast(want) if want.count() <= broadcast_rows else want
+
+
+def _rows_of_targets(base: DataFrame, want: DataFrame, group, keys, carry=()) -> DataFrame:
+    """Rows of ``base`` in each target's bucket (NULL is a group of its own,
+    as in GROUP BY, so the group is joined null-safely)."""
+    b, w = base.alias("b"), want.alias("w")
+    cond = ([F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in group]
+            + [F.col(f"b.{k}") == F.col(f"w.{k}") for k in keys])
+    return b.join(w, cond).select(*[F.col(f"b.{c}") for c in group], F.col("b._v"),
+                                  *[F.col(f"b.{k}") for k in (*keys, *carry)],
+                                  *[F.col(f"w.{c}") for c in _TARGET])
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
                 probs: Sequence[float], names: Sequence[str],
                 count_name: str | None = None,
-                broadcast_rows: int = TARGET_BROADCAST_ROWS) -> DataFrame:
+                broadcast_rows: int = TARGET_BROADCAST_ROWS,
+                refine_rows: int = REFINE_ROWS) -> DataFrame:
     """Exact ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per group.
 
     Linear interpolation between the order statistics ``floor(p*(n-1))`` and
@@ -66,7 +101,9 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     with a reliable ``checkpoint()`` and counted; only when the count is
     within ``broadcast_rows`` is it broadcast to the value scan, so the scan
     is never shuffled for this join (and a bucket holding a large share of
-    the rows never lands in one task). Beyond it, a shuffle join.
+    the rows never lands in one task). Beyond it, a shuffle join. When a
+    located bucket holds more than ``refine_rows`` rows, a second bucketing
+    level (relative width 2^-32) locates the rank inside it first.
     """
     group = list(group)
     v = F.col(value) if isinstance(value, str) else value
@@ -92,25 +129,29 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     # The bucket holding rank r: cum - c <= r < cum.
     located = (hist.select(*group, "_b", "_c", "_cum", "_n",
                            F.explode(F.array(*targets)).alias("_t"))
-               .select(*group, "_b", "_n", (F.col("_cum") - F.col("_c")).alias("_below"),
+               .select(*group, "_b", "_c", "_n", (F.col("_cum") - F.col("_c")).alias("_below"),
                        "_cum", "_t.*")
                .where((F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))))
+    want = _materialise(located.select(*group, "_b", "_c", *_TARGET), broadcast_rows)
+    keys = ["_b"]
+
+    # Optional second level: narrow very large located buckets first.
+    if (want.agg(F.max("_c")).first()[0] or 0) > refine_rows:
+        base = base.withColumn("_b2", fine_bucket(F.col("_v")))
+        rows = _rows_of_targets(base, want, group, ["_b"], carry=["_b2"]).drop("_v")
+        h2 = rows.groupBy(*group, "_b", "_b2", *_TARGET).agg(F.count(F.lit(1)).alias("_c2"))
+        w2 = (Window.partitionBy(*group, "_i", "_side").orderBy("_b2")
+              .rowsBetween(Window.unboundedPreceding, 0))
+        h2 = h2.withColumn("_cum2", F.col("_below") + F.sum("_c2").over(w2))
+        located2 = (h2.where((F.col("_cum2") - F.col("_c2") <= F.col("_r"))
+                             & (F.col("_r") < F.col("_cum2")))
+                    .withColumn("_below", F.col("_cum2") - F.col("_c2")))
+        want = _materialise(located2.select(*group, "_b", "_b2", *_TARGET), broadcast_rows)
+        keys = ["_b", "_b2"]
 
     # Step 2: rows of the target buckets only, counted per distinct value.
-    want = located.select(*group, "_b", "_i", "_side", "_r", "_below", "_pos", "_n")
-    ensure_checkpoint_dir(df.sparkSession)
-    want = want.checkpoint(eager=True)
-    if want.count() <= broadcast_rows:
-        want = F.broadcast(want)
-    # NULL is a group of its own (as in GROUP BY): join the group null-safely.
-    b, w = base.alias("b"), want.alias("w")
-    cond = ([F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in group]
-            + [F.col("b._b") == F.col("w._b")])
-    cand = (b.join(w, cond)
-            .select(*[F.col(f"b.{c}") for c in group], F.col("b._v"),
-                    *[F.col(f"w.{c}") for c in ("_i", "_side", "_r", "_below", "_pos", "_n")])
-            .groupBy(*group, "_i", "_side", "_r", "_below", "_pos", "_n", "_v")
-            .agg(F.count(F.lit(1)).alias("_vc")))
+    cand = (_rows_of_targets(base, want, group, keys)
+            .groupBy(*group, *_TARGET, "_v").agg(F.count(F.lit(1)).alias("_vc")))
     wv = (Window.partitionBy(*group, "_i", "_side").orderBy("_v")
           .rowsBetween(Window.unboundedPreceding, 0))
     picked = (cand.withColumn("_vcum", F.col("_below") + F.sum("_vc").over(wv))

@@ -217,3 +217,21 @@ def test_revenue_distribution_options(spark):
     deduped = revenue_distribution(t, dedup=True, by_version=False).collect()
     assert sum(r["filings_reporting"] for r in deduped) <= sum(
         r["filings_reporting"] for r in by_year)
+
+
+@pytest.mark.parametrize("refine", [0, 10**9])
+def test_percentiles_two_level_refinement_is_exact(spark, refine):
+    rng = random.Random(7)
+    vals = {g: [rng.choice([1.0, 1.0 + 1e-6, -2.5]) * rng.uniform(1000, 1000.01) for _ in range(700)]
+            for g in ("x", "y")}
+    vals["y"] += [0.0] * 50 + [float(i) for i in range(-20, 20)]
+    rows = [(g, v) for g, vs in vals.items() for v in vs] + [(None, 3.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    names = ["a", "b", "c", "d", "e"]
+    got = {r["g"]: r for r in percentiles(df, ["g"], "v", probs, names,
+                                          refine_rows=refine).collect()}
+    vals[None] = [3.0, 1.0]
+    for g, vs in vals.items():
+        for p, nm in zip(probs, names):
+            assert got[g][nm] == pytest.approx(_pct_ref(vs, p), rel=1e-12, abs=1e-12), (g, p)
