@@ -24,7 +24,7 @@ from factlake.operators.series import growth, prior_value, rolling
 from factlake.operators.stats import hhi, percentiles, topn_share
 from factlake.schema import (ANNUAL_FORMS, BLANK_CHECK_SIC, CONCEPTS, EXPENSE_TAGS,
                              FORM_10K, FORM_10KA, MEGACAP_CIKS, MEGACAP_CIKS_WITH_BRK,
-                             SECTOR_SICS, concept_tags)
+                             SECTOR_SICS)
 
 REVENUE_TAGS = CONCEPTS["revenue"]
 

@@ -14,7 +14,6 @@ selected); the set of quarter labels in a batch is tiny (one per folder).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 

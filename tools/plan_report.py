@@ -36,7 +36,6 @@ def summarize(plan: str) -> dict:
 
 
 def main() -> None:
-    from factlake.plans import analytics as A
     from factlake.plans.ingest import ingest_quarters
     from factlake.plans.registry import ANALYSES, FIXTURE_PARAMS
     from factlake.session import local_session
