@@ -36,10 +36,6 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.driver.memory", os.environ.get("FACTLAKE_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # local data is small: aim for ~16 MB partitions so AQE's coalescing
-        # and rebalancing still leave every core busy (a cluster sets its own)
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes",
-                os.environ.get("FACTLAKE_ADVISORY_PARTITION", "16m"))
     )
     for k, v in PLAN_CONFS.items():
         builder = builder.config(k, v)
