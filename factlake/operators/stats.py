@@ -66,12 +66,19 @@ REFINE_ROWS = 5_000_000
 _TARGET = ["_i", "_side", "_r", "_below", "_pos", "_n"]
 
 
-def _materialise(want: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Reliable checkpoint of a small target table, broadcast if its counted
-    size allows."""
+def _materialise(want: DataFrame, broadcast_rows: int,
+                 size_col: str | None = None) -> tuple[DataFrame, int]:
+    """Reliable checkpoint of a small target table; one aggregate over it
+    gives its row count (broadcast only within ``broadcast_rows``) and the
+    largest value of ``size_col``."""
     ensure_checkpoint_dir(want.sparkSession)
     want = want.checkpoint(eager=True)
-    return F.broadcast(want) if want.count() <= broadcast_rows else want
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if size_col:
+        aggs.append(F.max(size_col).alias("m"))
+    stats = want.agg(*aggs).first()
+    biggest = (stats["m"] or 0) if size_col else 0
+    return (F.broadcast(want) if stats["n"] <= broadcast_rows else want), biggest
 
 
 def _rows_of_targets(base: DataFrame, want: DataFrame, group, keys, carry=()) -> DataFrame:
@@ -132,11 +139,12 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
                .select(*group, "_b", "_c", "_n", (F.col("_cum") - F.col("_c")).alias("_below"),
                        "_cum", "_t.*")
                .where((F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))))
-    want = _materialise(located.select(*group, "_b", "_c", *_TARGET), broadcast_rows)
+    want, biggest = _materialise(located.select(*group, "_b", "_c", *_TARGET), broadcast_rows,
+                                 size_col="_c")
     keys = ["_b"]
 
     # Optional second level: narrow very large located buckets first.
-    if (want.agg(F.max("_c")).first()[0] or 0) > refine_rows:
+    if biggest > refine_rows:
         base = base.withColumn("_b2", fine_bucket(F.col("_v")))
         rows = _rows_of_targets(base, want, group, ["_b"], carry=["_b2"]).drop("_v")
         h2 = rows.groupBy(*group, "_b", "_b2", *_TARGET).agg(F.count(F.lit(1)).alias("_c2"))
@@ -146,7 +154,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
         located2 = (h2.where((F.col("_cum2") - F.col("_c2") <= F.col("_r"))
                              & (F.col("_r") < F.col("_cum2")))
                     .withColumn("_below", F.col("_cum2") - F.col("_c2")))
-        want = _materialise(located2.select(*group, "_b", "_b2", *_TARGET), broadcast_rows)
+        want, _ = _materialise(located2.select(*group, "_b", "_b2", *_TARGET), broadcast_rows)
         keys = ["_b", "_b2"]
 
     # Step 2: rows of the target buckets only, counted per distinct value.
