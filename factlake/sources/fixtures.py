@@ -9,6 +9,7 @@ tag = distinct (tag, version) of num.
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,18 +192,21 @@ class _LazyFixtures:
         return {"sub": self.sub, "num": self.num, "tag": self.tag, "pre": self.pre}
 
 
-_FIXTURES: dict[tuple[int, str], _LazyFixtures] = {}
+_FIXTURES: "weakref.WeakKeyDictionary[SparkSession, dict[str, _LazyFixtures]]" = \
+    weakref.WeakKeyDictionary()
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> _LazyFixtures:
     """The four filing tables as lazy DataFrames over the driver's parquet.
 
     Plans are built once per (session, directory) and reused: DataFrames are
-    immutable plans, so sharing them between queries is safe."""
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _FIXTURES:
-        _FIXTURES[key] = _LazyFixtures(spark, sf_dir)
-    return _FIXTURES[key]
+    immutable plans, so sharing them between queries is safe. The memo is
+    keyed weakly by the session object, so a new session never sees plans
+    of a stopped one."""
+    per_session = _FIXTURES.setdefault(spark, {})
+    if sf_dir not in per_session:
+        per_session[sf_dir] = _LazyFixtures(spark, sf_dir)
+    return per_session[sf_dir]
 
 
 # --------------------------------------------------------------------------
