@@ -179,3 +179,21 @@ def test_incremental_load_rewrites_only_affected_partitions(spark, scratch):
     assert {k: sorted(map(tuple, v.collect())) for k, v in once.as_dict().items()} == inc
     assert {r["adsh"]: r["value"] for r in incremental.num.collect()} == {
         "A1": Decimal(11), "A2": Decimal(2), "B1": Decimal(3)}
+
+
+def test_presentation_key_loaded_twice_fails_the_later_quarter(spark, scratch):
+    raw = f"{scratch}/raw"
+    write_quarter(raw, "2024q1", [sub_row("A1")], [tag_row("Revenues")], [num_row("A1")],
+                  [pre_row("A1")])
+    # 2024q2 does not relist A1 but repeats its presentation key: the plain
+    # insert of the original loader fails, so the whole quarter is rolled back
+    write_quarter(raw, "2024q2", [sub_row("B1", cik="300")], [tag_row("Assets")],
+                  [num_row("B1", tag="Assets")], [pre_row("A1"), pre_row("B1")])
+    write_quarter(raw, "2024q3", [sub_row("C1", cik="400")], [], [num_row("C1", value="9")],
+                  [pre_row("C1")])
+    res = _load(spark, scratch, ["2024q1", "2024q2", "2024q3"])
+    assert set(res.failed) == {"2024q2"} and "presentation" in res.failed["2024q2"]
+    t = _lake(spark, scratch)
+    assert sorted(r["adsh"] for r in t.sub.collect()) == ["A1", "C1"]
+    assert sorted(r["adsh"] for r in t.num.collect()) == ["A1", "C1"]
+    assert sorted(r["tag"] for r in t.tag.collect()) == ["Revenues"]
