@@ -362,8 +362,9 @@ def cash_conversion(t, min_net_income: float = 5e7, ratio_range: tuple[float, fl
     g = g.select("cik", "name", "years_with_data",
                  to_decimal(F.round("_avg", 9), 10, 3).alias("avg_conversion"),
                  to_decimal("_min", 10, 3).alias("min_conversion"),
-                 to_decimal("_max", 10, 3).alias("max_conversion"), "_avg")
-    return top_k(g, [F.desc("_avg"), F.asc("cik")], limit).drop("_avg")
+                 to_decimal("_max", 10, 3).alias("max_conversion"))
+    # ordered by the rounded output value, as published
+    return top_k(g, [F.desc("avg_conversion"), F.asc("cik")], limit)
 
 
 def income_statement_wide(t, ciks: Sequence[int] = MEGACAP_CIKS_WITH_BRK, fy: int = 2024) -> DataFrame:
@@ -389,6 +390,6 @@ def fcf_margin(t, fy: int = 2024, min_revenue: float = 1e10, limit: int = 25) ->
                    to_decimal("cfo", 28, 0).alias("cfo"),
                    to_decimal("capex", 28, 0).alias("capex"),
                    to_decimal(fcf, 28, 0).alias("fcf"),
-                   to_decimal(safe_ratio(fcf, F.col("revenue")), 10, 4).alias("fcf_margin"),
-                   safe_ratio(fcf, F.col("revenue")).alias("_m"))
-    return top_k(out, [F.desc_nulls_last("_m"), F.asc("cik")], limit).drop("_m")
+                   to_decimal(safe_ratio(fcf, F.col("revenue")), 10, 4).alias("fcf_margin"))
+    # ordered by the rounded output value, as published
+    return top_k(out, [F.desc_nulls_last("fcf_margin"), F.asc("cik")], limit)
