@@ -24,14 +24,15 @@ def final_plan(df) -> str:
 
 
 def summarize(plan: str) -> dict:
-    pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan)))
+    pushed = sorted({ln.split("PushedFilters: ", 1)[1].split(", ReadSchema")[0]
+                     for ln in plan.splitlines() if "PushedFilters: " in ln})
     return {
         "shuffles": len(re.findall(r"Exchange (?:hash|range|single|round)", plan, re.I)),
         "broadcast_joins": plan.count("BroadcastHashJoin"),
         "sort_merge_joins": plan.count("SortMergeJoin"),
         "window_group_limits": plan.count("WindowGroupLimit"),
         "scans": plan.count("FileScan parquet"),
-        "pushed": [p[:160] for p in pushed if p],
+        "pushed": [p for p in pushed if p],
     }
 
 
@@ -47,6 +48,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     out = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
     spark = local_session(8)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")   # untruncated filters
     work = tempfile.mkdtemp(prefix="factlake-plans-")
     quarters = write_quarter_files(fixture_tables(spark, sf_dir), f"{work}/raw")
     ingest_quarters(spark, f"{work}/raw", f"{work}/lake", quarters, layout=SPARK_LAYOUT)
