@@ -126,13 +126,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
             .withColumn("_n", F.sum("_c").over(wall)))
 
     # Wanted ranks per group: lo/hi order statistic of every probability.
-    targets = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit("lo").alias("_side"),
-                                F.floor(pos).cast("long").alias("_r"), pos.alias("_pos")))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit("hi").alias("_side"),
-                                F.ceil(pos).cast("long").alias("_r"), pos.alias("_pos")))
+    targets = _targets(probs)
     # The bucket holding rank r: cum - c <= r < cum.
     located = (hist.select(*group, "_b", "_c", "_cum", "_n",
                            F.explode(F.array(*targets)).alias("_t"))
@@ -165,8 +159,24 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     picked = (cand.withColumn("_vcum", F.col("_below") + F.sum("_vc").over(wv))
               .where((F.col("_vcum") - F.col("_vc") <= F.col("_r")) & (F.col("_r") < F.col("_vcum"))))
 
-    # One grouped pass picks, per probability, the lo/hi order statistics
-    # and the position; the interpolation is then a projection.
+    return _assemble(picked, group, probs, names, count_name)
+
+
+def _targets(probs: Sequence[float]) -> list[Column]:
+    """lo/hi order statistic (0-based rank) of every probability, given ``_n``."""
+    out = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        out.append(F.struct(F.lit(i).alias("_i"), F.lit("lo").alias("_side"),
+                            F.floor(pos).cast("long").alias("_r"), pos.alias("_pos")))
+        out.append(F.struct(F.lit(i).alias("_i"), F.lit("hi").alias("_side"),
+                            F.ceil(pos).cast("long").alias("_r"), pos.alias("_pos")))
+    return out
+
+
+def _assemble(picked: DataFrame, group, probs, names, count_name) -> DataFrame:
+    """From one row per (group, prob, side) holding the order statistic
+    ``_v``: one grouped pass, then linear interpolation as a projection."""
     def pick(i, side):
         return F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_v")))
 
@@ -185,6 +195,28 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     return per_group.select(*group, *cols)
 
 
+def percentiles_small_domain(df: DataFrame, group: Sequence[str], value: str | Column,
+                             probs: Sequence[float], names: Sequence[str],
+                             count_name: str | None = None) -> DataFrame:
+    """Exact ``PERCENTILE_CONT`` for a value with a small, bounded domain
+    (e.g. day counts already restricted to 1..365): rows are counted per
+    distinct value (partial aggregation), and the cumulative walk per group
+    sees at most one row per domain value. Same semantics as
+    ``percentiles``; no materialisation step."""
+    group = list(group)
+    v = F.col(value) if isinstance(value, str) else value
+    counts = (df.select(*group, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    wcum = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (counts.withColumn("_cum", F.sum("_c").over(wcum))
+              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*group))))
+    picked = (counts.select(*group, "_v", "_c", "_cum", "_n",
+                            F.explode(F.array(*_targets(probs))).alias("_t"))
+              .select(*group, "_v", "_n", "_c", "_cum", "_t.*")
+              .where((F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))))
+    return _assemble(picked, group, probs, names, count_name)
+
+
 # --------------------------------------------------------------------------
 # Shares, concentration
 # --------------------------------------------------------------------------

@@ -21,7 +21,7 @@ from factlake.operators.joins import amendment_pairs, missing_concept
 from factlake.operators.pivot import pivot_concepts
 from factlake.operators.ranking import rank_topn, top_k, topk_per_row
 from factlake.operators.series import growth, prior_value, rolling
-from factlake.operators.stats import hhi, percentiles, topn_share
+from factlake.operators.stats import hhi, percentiles, percentiles_small_domain, topn_share
 from factlake.schema import (ANNUAL_FORMS, BLANK_CHECK_SIC, CONCEPTS, EXPENSE_TAGS,
                              FORM_10K, FORM_10KA, MEGACAP_CIKS, MEGACAP_CIKS_WITH_BRK,
                              SECTOR_SICS)
@@ -74,8 +74,10 @@ def filing_lag(t, form: str = FORM_10K, min_days: int = 1, max_days: int = 365,
     counts = base.groupBy("afs", "period_year").agg(
         F.count(F.lit(1)).alias("filings"),
         F.count_if(F.col("lag_days") > late_after).alias("late_filings"))
-    pct = percentiles(base, ["afs", "period_year"], "lag_days", [0.25, 0.5, 0.75, 0.95],
-                      ["p25_days", "median_days", "p75_days", "p95_days"])
+    # lag_days is restricted to [min_days, max_days]: a small bounded domain
+    pct = percentiles_small_domain(base, ["afs", "period_year"], "lag_days",
+                                   [0.25, 0.5, 0.75, 0.95],
+                                   ["p25_days", "median_days", "p75_days", "p95_days"])
     return (counts.join(pct, ["afs", "period_year"])
             .select("afs", "period_year", "filings", "p25_days", "median_days", "p75_days",
                     "p95_days", "late_filings")

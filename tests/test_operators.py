@@ -235,3 +235,18 @@ def test_percentiles_two_level_refinement_is_exact(spark, refine):
     for g, vs in vals.items():
         for p, nm in zip(probs, names):
             assert got[g][nm] == pytest.approx(_pct_ref(vs, p), rel=1e-12, abs=1e-12), (g, p)
+
+
+def test_percentiles_small_domain_matches_general(spark):
+    from factlake.operators.stats import percentiles_small_domain
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(1, 365)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, d int")
+    probs, names = [0.0, 0.25, 0.5, 0.95, 1.0], ["a", "b", "c", "d", "e"]
+    got = {r["g"]: r for r in percentiles_small_domain(df, ["g"], "d", probs, names, "n").collect()}
+    for g in ("a", "b", None):
+        vals = [d for gg, d in rows if gg == g]
+        assert got[g]["n"] == len(vals)
+        for p, nm in zip(probs, names):
+            assert got[g][nm] == pytest.approx(_pct_ref(vals, p), rel=1e-12, abs=1e-12)

@@ -21,7 +21,7 @@ def test_dedup_limits_rows_before_the_shuffle(spark):
 
 
 def test_percentile_targets_are_broadcast_not_the_values_shuffled(spark):
-    plan = _plan(A.filing_lag(fixture_tables(spark, SF)))
+    plan = _plan(A.revenue_distribution(fixture_tables(spark, SF)))
     assert "BroadcastHashJoin" in plan
     assert "SortMergeJoin" not in plan
 
@@ -33,6 +33,13 @@ def test_fact_counts_are_aggregated_before_the_tag_join(spark):
     assert "partial_count" in plan[join_at:]
 
 
+def test_small_domain_percentiles_need_no_join(spark):
+    plan = _plan(A.filing_lag(fixture_tables(spark, SF)))
+    # counts per day value, a window over at most 365 values, one join of
+    # two small per-group aggregates
+    assert plan.count("Join") <= 2
+
+
 def test_hhi_has_no_join(spark):
     plan = _plan(A.hhi_concentration(fixture_tables(spark, SF), fy=1999))
     body = plan.split("BroadcastHashJoin")
