@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     and Arrow batches bounded by bytes, so that very long texts do not make
     a batch of ten thousand rows outgrow a worker."""
     apply_plan_confs(spark)
+    # Python workers on this machine find the library wherever they start; on
+    # other machines it is installed or shipped (--py-files)
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
@@ -68,34 +75,43 @@ def ascii_lower(c: Column) -> Column:
 
 
 def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str,
-               spread: Column, how: str = "left") -> DataFrame:
+               spread: Column, how: str = "left", heavy: int = HEAVY_KEYS) -> DataFrame:
     """Equi-join of ``left`` with ``right`` that no key can skew.
 
     ``right`` has one row per key, non-null keys, and ``weight``: how many rows
-    of ``left`` the key has. Its ``HEAVY_KEYS`` heaviest rows are broadcast (a
+    of ``left`` the key has. Its ``heavy`` heaviest rows are broadcast (a
     bound that does not depend on the input's size); the other keys, each
-    under 1/HEAVY_KEYS of the rows, meet in a shuffle join, in which the rows
+    under 1/heavy of the rows, meet in a shuffle join, in which the rows
     already matched are dealt by ``spread`` (a column of ``left`` that differs
     between rows) and match nothing. ``how``: left, inner or left_semi.
     Columns of ``right`` other than its key must not occur in ``left``;
     ``weight`` is not returned.
     """
     values = [c for c in right.columns if c not in on and c != weight]
-    hot = right.orderBy(F.desc(weight), *on).limit(HEAVY_KEYS).select(
+    hot = right.orderBy(F.desc(weight), *on).limit(heavy).select(
         *[F.col(c).alias(f"_hk_{c}") for c in on], F.struct(F.lit(1).alias("_one"), *values).alias("_hot"))
     keys = [F.col(c) == F.col(f"_hk_{c}") for c in on]
     marked = left.withColumn("_spread", spread).join(F.broadcast(hot), keys, "left").drop(
         *[f"_hk_{c}" for c in on])
-    marked = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(
-        F.xxhash64("_spread")))
-    cold = right.select(*[F.col(c).alias(f"_ck_{c}") for c in on], F.lit(0).cast("long").alias("_ck_deal"),
+    # the key's hash, or for rows already matched one that matches nothing (if
+    # it should, it finds the same row of ``right`` again)
+    marked = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.xxhash64(*on)).otherwise(F.xxhash64("_spread")))
+    cold = right.select(*[F.col(c).alias(f"_ck_{c}") for c in on], F.xxhash64(*on).alias("_ck_deal"),
                         F.struct(F.lit(1).alias("_one"), *values).alias("_cold"))
-    # a heavy row whose hash is 0 would meet the cold keys again, with the same
-    # result: both structs come from the same row of ``right``
-    out = marked.join(cold, [F.col(c) == F.col(f"_ck_{c}") for c in on]
-                      + [F.col("_deal") == F.col("_ck_deal")], "left")
+    out = marked.join(cold, [F.col("_deal") == F.col("_ck_deal")]
+                      + [F.col(c) == F.col(f"_ck_{c}") for c in on], "left")
     found = F.coalesce("_hot", "_cold")
     if how in ("inner", "left_semi"):
         out = out.where(found.isNotNull())
     take = [] if how == "left_semi" else [found[v].alias(v) for v in values]
     return out.select(*left.columns, *take)
+
+
+def open_store(uri: str):
+    """(file system, path) of a path or URI, for files that tasks write and
+    read themselves. Hadoop prints local folders as ``file:/...``."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)

@@ -13,11 +13,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, simhash
+from . import bpe, html_extract, line_dedup, quality_rules, simhash, token_store, toxicity, warc_zip
 from .common import table
 
 #: The vocabulary files' place; a parameter of the operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,27 @@ GROUP BY k.doc_id
 """
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_store(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.with_score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,12 +74,34 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive(table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = r"""
+WITH page AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+best AS (
+  SELECT payload_digest, max(page_id) AS top FROM page WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, p.url,
+       CASE WHEN b.top IS DISTINCT FROM p.page_id AND b.top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b.top IS DISTINCT FROM p.page_id THEN b.top END AS refers_to
+FROM page p LEFT JOIN best b ON p.payload_digest = b.payload_digest AND p.payload_bytes >= 1000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_token_store": op3_token_store,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_html_extract": op5_html_extract,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
+    "op10_warc_zip": op10_warc_zip,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op10_warc_zip": OP10_SQL,
 }
