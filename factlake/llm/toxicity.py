@@ -14,8 +14,9 @@ the few bytes that one insult saves. The strings are found as zstandard's own
 trainer does it, by greedy cover, but with the contrast between the two classes
 as weight: the words that toxic texts have in many more different contexts
 (counting contexts keeps copies of one text from counting many times), then
-the substrings of a word with the highest contrast, as long as words are left
-that none of them covers.
+their beginnings with the highest contrast, as long as words are left that
+none of them covers. The dictionary holds the words and, nearest to the window,
+the beginnings, parted by a byte that no text of words has.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents (those with the smallest
 hash of their doc_id) and ``ORDINARY_WINDOWS`` of their windows for the ordinary
@@ -47,9 +48,9 @@ from .common import prepare, written
 TRAIN_ROWS = 10_000
 ORDINARY_WINDOWS = 20_000
 ORDINARY_BYTES = 8192
-TOXIC_STRINGS = 200
+TOXIC_STRINGS, WHOLE_WORDS = 200, 500
 #: Words of a window, and its most bytes (a longer word is cut).
-WINDOW, WINDOW_BYTES = 16, 512
+WINDOW, WINDOW_BYTES = 10, 512
 #: Thresholds on a window's distance whose counts are features of a text.
 STEPS = (2, 3, 4, 5, 6)
 #: Least contrast (z) and lift of a word, least lift of a substring.
@@ -76,8 +77,10 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def parts_of(word: bytes) -> set[bytes]:
+    """A word's beginnings of 4 bytes and more, with the space before it; whole
+    words with the space after."""
     w = b" " + word[:64] + b" "
-    return {w[i: i + n] for n in range(4, 13) for i in range(len(w) - n + 1)}
+    return {w[:n] for n in range(4, min(len(w), 24) + 1)}
 
 
 @dataclass
@@ -89,7 +92,7 @@ class Model:
 
     def compressors(self) -> tuple:
         own = zstd.ZstdCompressionParameters.from_level(
-            5, strategy=zstd.STRATEGY_GREEDY, min_match=4, window_log=17, format=zstd.FORMAT_ZSTD1_MAGICLESS,
+            5, strategy=zstd.STRATEGY_GREEDY, min_match=5, window_log=17, format=zstd.FORMAT_ZSTD1_MAGICLESS,
             write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def compressor(content: bytes):
@@ -150,7 +153,8 @@ def _contrast(t: float, o: float, all_t: float, all_o: float, weight: float | No
 
 
 def toxic_strings(rows: DataFrame) -> list[bytes]:
-    """The strings that set toxic text apart, the best one last."""
+    """The strings that set toxic text apart: words, then the beginnings that
+    cover them, each with the best one last."""
     words = written(_contexts(rows), "word-contexts")
     all_t, all_o = (x or 0 for x in words.agg(F.sum("t"), F.sum("o")).first())
     lift = F.log((F.col("t") + 0.5) / (all_t + 1) / ((F.col("o") + 0.5) / (all_o + 1)))
@@ -176,6 +180,7 @@ def toxic_strings(rows: DataFrame) -> list[bytes]:
     good = {x: _contrast(t, o, all_t, all_o)[1] for x, (t, o) in counts.items()}
     good = {x: g for x, g in good.items() if g >= PART_LIFT}
     out: list[bytes] = []
+    whole: list[bytes] = []
     while left and len(out) < TOXIC_STRINGS:
         cover: Counter = Counter()
         for w, c in left.items():
@@ -186,8 +191,9 @@ def toxic_strings(rows: DataFrame) -> list[bytes]:
             break
         pick = max(cover, key=lambda x: (round(math.log(good[x]) * math.sqrt(cover[x]), 6), len(x), x))
         out.append(pick)
-        left = {w: c for w, c in left.items() if pick not in b" " + w + b" "}
-    return out[::-1]
+        whole += [b" " + w for w in left if pick in parts_of(w) and b" " + w + b" " != pick]
+        left = {w: c for w, c in left.items() if pick not in parts_of(w)}
+    return whole[:WHOLE_WORDS][::-1] + out[::-1]
 
 
 def ordinary_content(rows: DataFrame) -> bytes:
