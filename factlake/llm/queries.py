@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, quality_rules, simhash, token_store, toxicity, warc_zip
+from . import bpe, decontaminate, html_extract, line_dedup, quality_rules, simhash, token_store, toxicity, warc_zip
 from .common import table
 
 #: The vocabulary files' place; a parameter of the operators.
@@ -44,6 +44,30 @@ GROUP BY k.doc_id
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
+item_words AS (
+  SELECT item_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
+doc_shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc_words WHERE len(w) > 0)),
+item_shingle AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+item_size AS (SELECT item_id, count(*) AS n_shingles FROM item_shingle GROUP BY item_id),
+shared AS (
+  SELECT d.doc_id, i.item_id, count(*) AS n_shared FROM doc_shingle d JOIN item_shingle i USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared::DOUBLE / n_shingles AS containment
+FROM shared JOIN item_size USING (item_id)
+WHERE n_shared * 10 >= n_shingles * 8
+"""
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -92,6 +116,7 @@ FROM page p LEFT JOIN best b ON p.payload_digest = b.payload_digest AND p.payloa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_store": op3_token_store,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extract": op5_html_extract,
@@ -103,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
     "op10_warc_zip": OP10_SQL,
 }
