@@ -10,12 +10,21 @@ columns are carried along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factlake.llm import bpe, line_dedup, simhash
-from factlake.llm.common import table, written
+from factlake.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from factlake.llm.common import fresh, table, written
 from factlake.llm.queries import TOKENIZER
 
 
+def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity cut stay. The model is trained on
+    the labelled ones among ``docs``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    score = fresh(docs, "score")
+    return toxicity.with_score(docs, model, out_col=score).where(F.col(score) < toxicity.CUT).drop(score)
+
+
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents have are taken out of all texts."""
     return line_dedup.drop_shared_lines(docs)
@@ -26,14 +35,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of each text's ids and decoded text."""
     return bpe.round_trip(docs, TOKENIZER)
 
 
 STAGES = [
+    ("toxicity", ordinary),
     ("line_dedup", shared_lines),
     ("simhash", near_copies),
+    ("decontaminate", untested),
     ("bpe", tokens),
 ]
 
@@ -42,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage applied to the documents table in turn."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
