@@ -251,51 +251,61 @@ class Memo(dict):
         return got
 
 
-class Encoder:
-    """Text to ids as the tokenizers library does with the same file."""
+class Parting:
+    """A text's words into pre-tokens, as the tokenizer file has it."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.merges = Merges(spec)
-        steps = spec["normalizer"]["normalizers"]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
+            self.spec = json.load(f)
+        steps = self.spec["normalizer"]["normalizers"]
+        split, level = self.spec["pre_tokenizer"]["pretokenizers"]
         known = ([s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split"
                  and split["behavior"] == "Removed" and split["invert"] and level["type"] == "ByteLevel"
                  and not level["add_prefix_space"] and not level["use_regex"])
         if not known:
-            raise ValueError("a tokenizer file of another kind than this transducer's")
+            raise ValueError("a tokenizer file of another kind")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.memo, self.pieces = Memo(self._word), Memo(self._piece)
         # other scripts' letters: parted by the library's own tables of characters
-        whole = Tokenizer.from_file(path)
-        self.library = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.back = {c: b for b, c in enumerate(byte_alphabet())}
 
-    def _piece(self, raw: bytes) -> bytes:
-        return np.array(self.merges.tokens(raw), "<u4").tobytes()
+    def spans(self, text: str) -> list[str]:
+        """Ordinary text and special tokens in turn."""
+        return self.special_at.split(text) if self.special_at and "<" in text else [text]
 
-    def _parted(self, text: str) -> list[bytes]:
-        """The pre-tokens of a word."""
+    def parted(self, text: str) -> list[bytes]:
+        """The pre-tokens of a word without special tokens."""
         if text.isascii():
             return [x.encode() for x in self.pattern.findall(text.lower())]
         if max(text) < LATIN_END:
             shown = _SPACE.sub(" ", unicodedata.normalize("NFC", text)).lower()
             return [x.encode() for x in self.pattern.findall(shown)]
-        normal, part = self.library
+        normal, part = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         return [bytes(map(self.back.__getitem__, x)) for x, _ in part(normal(text))]
 
+
+class Encoder:
+    """Text to ids as the tokenizers library does with the same file."""
+
+    def __init__(self, path: str):
+        self.parting = Parting(path)
+        self.merges = Merges(self.parting.spec)
+        self.memo, self.pieces = Memo(self._word), Memo(self._piece)
+
+    def _piece(self, raw: bytes) -> bytes:
+        return np.array(self.merges.tokens(raw), "<u4").tobytes()
+
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        spans = self.special_at.split(text) if self.special_at and "<" in text else [text]
-        out, pieces = [], self.pieces
-        for i, span in enumerate(spans):
+        out, pieces, parting = [], self.pieces, self.parting
+        for i, span in enumerate(parting.spans(word.decode("utf-8", "replace"))):
             if i % 2:
-                out.append(np.array([self.special[span]], "<u4").tobytes())
+                out.append(np.array([parting.special[span]], "<u4").tobytes())
             else:
-                out.extend(map(pieces.__getitem__, self._parted(span)))
+                out.extend(map(pieces.__getitem__, parting.parted(span)))
         return b"".join(out)
 
     def words(self, words: list[bytes]) -> bytes:

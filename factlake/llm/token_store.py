@@ -39,9 +39,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import Memo
+from .bpe import LATIN_END, Parting
 from .common import open_store, prepare, shared_folder, written
 
 CHUNK = 8
@@ -52,6 +51,8 @@ SEGMENT = 1 << 20
 END_ID = 1
 #: Words or rows handled at a time.
 BLOCK = 1 << 16
+#: Entries of a worker's memos, which start anew when full.
+WORDS, PIECES = 1_000_000, 500_000
 
 _DIR = np.dtype([("offset", "<u8"), ("first", "<u8"), ("n", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("first", "<u8"), ("n", "<u4")])
@@ -214,45 +215,60 @@ class StoreReader:
 # ---- encoding with the tokenizers library -----------------------------------
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, word by word through a bounded memo: this
+    """Ids by the tokenizers library through a bounded memo of words: this
     vocabulary's pre-tokens never cross white space, so a text's ids are the
-    ids of its words in order."""
+    ids of its words in order. Words new to the memo are parted into pre-tokens,
+    and the library encodes the new ones among these in one call, parted by
+    spaces; each ends in a token with the mark of a word's end."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        kinds = [x["type"] for x in _parts(path)]
-        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
-            raise ValueError("the words of this vocabulary may depend on their neighbours")
-        self.memo = Memo(self._word)
-
-    def _word(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self.parting = Parting(path)
+        self.tokenizer = self.parting.tokenizer
+        vocab = self.parting.spec["model"]["vocab"]
+        suffix = self.parting.spec["model"]["end_of_word_suffix"]
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        parts: dict[bytes, list[bytes]] = {}
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if "<|" in text or not text.isascii() and max(text) >= LATIN_END:
+                self.memo[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                parts[w] = self.parting.parted(text)
+        pieces = self.pieces
+        new = list({p for ps in parts.values() for p in ps}.difference(pieces))
+        for at in range(0, len(new), 4096):
+            some = new[at: at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a pre-token that the library parts again")
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(some, (4 * ends).tolist(), strict=True):
+                pieces[p] = raw[begin:end]
+                begin = end
+        for w, ps in parts.items():
+            self.memo[w] = b"".join([pieces[p] for p in ps])
 
     def blocks(self, text: str | None) -> Iterator[np.ndarray]:
         words = (text or "").encode("utf-8", "replace").split()
         for at in range(0, len(words), BLOCK):
             got = words[at: at + BLOCK]
-            new = [w for w in set(got) if w not in self.memo and len(w) < 256]
-            if len(new) > 64:  # in one call of the library
-                if len(self.memo) + len(new) > 400_000:
-                    self.memo.clear()
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(
-                        [w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    self.memo[w] = np.array(e.ids, "<u4").tobytes()
+            new = set(got).difference(self.memo)
+            if len(self.memo) + len(new) > WORDS:
+                self.memo.clear()
+                new = set(got)
+            if new:
+                self._learn(new)
             yield np.frombuffer(b"".join(map(self.memo.__getitem__, got)), "<u4")
 
 
-def _parts(path: str) -> list[dict]:
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    return spec["normalizer"]["normalizers"] + spec["pre_tokenizer"]["pretokenizers"]
-
-
 @functools.cache
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
