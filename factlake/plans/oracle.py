@@ -1,16 +1,18 @@
 """Independent SQL formulations (DuckDB dialect) of the registered analyses,
 over the same fixture views (as CTEs).
 
-They are written as compact set-oriented SQL rather than mirrors of our
-DataFrame plans: the latest-value dedup is a ``QUALIFY`` on ``row_number``,
-group statistics are plain aggregates (``quantile_cont`` lists, ``FILTER``
-sums), amendment pairs are a direct self-join and the per-filing top-k is a
-``LATERAL`` subquery — the straightforward shapes the Spark plans avoid.
+They state each analysis with other means than the DataFrame plans do. The
+latest value of a company's year is found by aggregates only: the greatest
+(filed, accession number) of the year names the filing, the greatest (date,
+version, value) of each of its tags is that tag's value, and the first tag in
+the alphabet gives the year's. Neighbouring years come from a list per company,
+ranks from counting larger values, the largest facts of a filing from an
+ordered list, concentration from the sum of squares over the squared sum.
 
 Shared conventions with the Spark side (SURVEY §5.1): ratios in double,
 money percentiles cast to decimal(28,2), ratio percentiles rounded to 6
 places, year/day values as INTEGER, ranks as INTEGER, explicit total orders
-before every LIMIT / ROW_NUMBER.
+before every LIMIT.
 """
 
 from __future__ import annotations
@@ -26,30 +28,45 @@ def _in(values) -> str:
 
 REV = _in(CONCEPTS["revenue"])
 CA = "n.qtrs = 4 AND n.uom = 'USD' AND n.segments = '' AND n.coreg = ''"
-# latest filed first; our documented tie-break inside one filing after it
-LATEST = "s.filed DESC, s.adsh DESC, n.tag ASC, n.ddate DESC, n.version DESC, n.value DESC"
 
 
 def _p(name, key):
     return FIXTURE_PARAMS[name][key]
 
 
-def _rev_latest(cols: str, extra_where: str = "") -> str:
-    """CTE ``rev_latest``: one revenue value per (cik, year), latest filed."""
-    return f"""rev_latest AS (
-    SELECT {cols}, CAST(year(n.ddate) AS INTEGER) AS fy, n.value AS revenue
-    FROM num n JOIN sub s USING (adsh)
-    WHERE s.form IN ('10-K', '10-K/A') AND n.tag IN ({REV}) AND {CA} AND n.value > 0 {extra_where}
-    QUALIFY row_number() OVER (PARTITION BY s.cik, year(n.ddate) ORDER BY {LATEST}) = 1)"""
-
-
-def _tag_latest(cols: str, tags, extra_where: str = "") -> str:
-    """CTE ``tag_latest``: one value per (cik, year, tag), latest filed."""
-    return f"""tag_latest AS (
-    SELECT {cols}, CAST(year(n.ddate) AS INTEGER) AS fy, n.tag, n.value
-    FROM num n JOIN sub s USING (adsh)
-    WHERE s.form IN ('10-K', '10-K/A') AND n.tag IN ({_in(tags)}) AND {CA} {extra_where}
-    QUALIFY row_number() OVER (PARTITION BY s.cik, year(n.ddate), n.tag ORDER BY {LATEST}) = 1)"""
+def _facts(tags, where: str = "") -> str:
+    """CTE ``fact``: consolidated annual facts of annual reports, with the
+    company and fiscal year they speak of."""
+    return f"""fact AS (
+    SELECT s.cik, CAST(year(n.ddate) AS INTEGER) AS fy, s.filed, n.adsh, n.tag, n.ddate, n.version, n.value
+    FROM num n, sub s
+    WHERE n.adsh = s.adsh AND s.form IN ('10-K', '10-K/A') AND n.tag IN ({_in(tags)}) AND {CA} {where})"""
+
+
+def yearly(where: str = "") -> str:
+    """CTE ``rev`` (cik, fy, revenue and the filing's sic and name): the revenue
+    that the company's latest filing reports for the year."""
+    return _facts(CONCEPTS["revenue"], f"AND n.value > 0 {where}") + """,
+newest AS (SELECT cik, fy, max(struct_pack(filed := filed, adsh := adsh)) AS f FROM fact GROUP BY cik, fy),
+by_tag AS (
+    SELECT cik, fy, adsh, tag, max(struct_pack(d := ddate, r := version, v := value)).v AS v
+    FROM fact GROUP BY cik, fy, adsh, tag),
+rev AS (
+    SELECT b.cik, b.fy, any_value(s.sic) AS sic, any_value(s.name) AS name, arg_min(b.v, b.tag) AS revenue
+    FROM by_tag b, newest w, sub s
+    WHERE w.cik = b.cik AND w.fy = b.fy AND w.f.adsh = b.adsh AND s.adsh = b.adsh
+    GROUP BY b.cik, b.fy)"""
+
+
+def yearly_tags(tags, where: str = "") -> str:
+    """CTE ``val`` (cik, fy, tag, value, and the filing's adsh, sic and name): each
+    tag's value in the latest filing that has it for the year."""
+    return _facts(tags, where) + """,
+best AS (
+    SELECT cik, fy, tag, max(struct_pack(f := filed, a := adsh, d := ddate, r := version, v := value)) AS b
+    FROM fact GROUP BY cik, fy, tag),
+val AS (
+    SELECT x.cik, x.fy, x.tag, x.b.v AS value, s.adsh, s.sic, s.name FROM best x, sub s WHERE s.adsh = x.b.a)"""
 
 
 def _f(concept: str) -> str:
@@ -93,52 +110,47 @@ GROUP BY 1, 2 ORDER BY 1, 2"""
 SELECT CAST(year(s.period) AS INTEGER) AS fiscal_year, COUNT(*) AS filings_missing_ni
 FROM sub s
 WHERE s.form = '10-K' AND s.period IS NOT NULL
-  AND s.adsh NOT IN (SELECT n.adsh FROM num n
-                     WHERE n.tag IN ({_in(CONCEPTS['net_income_any'])}) AND {CA})
+  AND NOT EXISTS (FROM num n WHERE n.adsh = s.adsh AND n.tag IN ({_in(CONCEPTS['net_income_any'])}) AND {CA})
 GROUP BY 1 ORDER BY 1"""
 
-    q["revenue_yoy"] = sql_with("sub", "num", extra=_rev_latest("s.cik")) + """
-SELECT cik, fy AS fiscal_year, revenue, prior_revenue,
-       CAST(revenue - prior_revenue AS DOUBLE) / NULLIF(CAST(prior_revenue AS DOUBLE), 0) AS yoy_growth
-FROM (SELECT cik, fy, revenue, LAG(revenue) OVER (PARTITION BY cik ORDER BY fy) AS prior_revenue
-      FROM rev_latest) g
-ORDER BY cik, fiscal_year LIMIT 30"""
-
-    q["revenue_rolling"] = sql_with("sub", "num", extra=_rev_latest("s.cik")) + """
-SELECT cik, fy AS fiscal_year, revenue,
-       SUM(revenue) OVER w3 AS revenue_3yr_sum,
-       COUNT(*) OVER w3 AS years_in_window
-FROM rev_latest
-WINDOW w3 AS (PARTITION BY cik ORDER BY fy ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
-ORDER BY cik, fiscal_year LIMIT 30"""
+    by_company = """,
+career AS (SELECT cik, list(struct_pack(fy := fy, v := revenue) ORDER BY fy) AS y FROM rev GROUP BY cik),
+year_no AS (SELECT cik, y, unnest(range(1, len(y) + 1)) AS i FROM career)"""
+    q["revenue_yoy"] = sql_with("sub", "num", extra=yearly() + by_company) + """
+SELECT cik, y[i].fy AS fiscal_year, y[i].v AS revenue,
+       CASE WHEN i > 1 THEN y[i - 1].v END AS prior_revenue,
+       CASE WHEN i > 1 AND y[i - 1].v <> 0
+            THEN CAST(y[i].v - y[i - 1].v AS DOUBLE) / CAST(y[i - 1].v AS DOUBLE) END AS yoy_growth
+FROM year_no ORDER BY cik, fiscal_year LIMIT 30"""
+
+    q["revenue_rolling"] = sql_with("sub", "num", extra=yearly() + by_company) + """
+SELECT n.cik, any_value(n.y[n.i].fy) AS fiscal_year, any_value(n.y[n.i].v) AS revenue,
+       SUM(n.y[k.k].v) AS revenue_3yr_sum, COUNT(*) AS years_in_window
+FROM year_no n, (SELECT unnest(range(0, 3)) AS back) b, LATERAL (SELECT n.i - b.back AS k) k
+WHERE k.k >= 1
+GROUP BY n.cik, n.i ORDER BY n.cik, fiscal_year LIMIT 30"""
 
     y0, y1 = _p("top_by_sector", "years")
-    q["top_by_sector"] = sql_with(
-        "sub", "num", extra=_rev_latest("s.cik, s.sic, s.name", "AND s.sic IS NOT NULL")) + f"""
-SELECT sic, fy AS fiscal_year,
-       CAST(rank() OVER (PARTITION BY sic, fy ORDER BY revenue DESC) AS INTEGER) AS sector_rank,
-       cik, name, revenue
-FROM rev_latest
-QUALIFY sector_rank <= 5 AND fy BETWEEN {y0} AND {y1} AND sic IN (2834, 7372, 6022, 7370, 1311)
-ORDER BY sic, fiscal_year, sector_rank, cik"""
+    q["top_by_sector"] = sql_with("sub", "num", extra=yearly("AND s.sic IS NOT NULL")) + f"""
+SELECT r.sic, r.fy AS fiscal_year, CAST(count(o.cik) + 1 AS INTEGER) AS sector_rank, r.cik, r.name, r.revenue
+FROM rev r LEFT JOIN rev o ON o.sic = r.sic AND o.fy = r.fy AND o.revenue > r.revenue
+WHERE r.fy BETWEEN {y0} AND {y1} AND r.sic IN (2834, 7372, 6022, 7370, 1311)
+GROUP BY ALL HAVING count(o.cik) < 5
+ORDER BY r.sic, fiscal_year, sector_rank, r.cik"""
 
     mc = FIXTURE_PARAMS["margin_compression"]
     q["margin_compression"] = sql_with(
-        "sub", "num",
-        extra=_tag_latest("s.cik, s.name", CONCEPTS["revenue"] + CONCEPTS["cogs"], "AND n.value > 0")
-    ) + f"""
-SELECT cik, name, fy AS fiscal_year, revenue, gm AS gross_margin, gm_before AS prior_margin,
-       gm - gm_before AS margin_change_pp
-FROM (
-    SELECT cik, name, fy, revenue, gm, LAG(gm) OVER (PARTITION BY cik ORDER BY fy) AS gm_before
-    FROM (
-        SELECT cik, MAX(name) AS name, fy, {_f('revenue')} AS revenue, {_f('cogs')} AS cogs,
-               CAST({_f('revenue')} - {_f('cogs')} AS DOUBLE)
-                 / NULLIF(CAST({_f('revenue')} AS DOUBLE), 0) AS gm
-        FROM tag_latest GROUP BY cik, fy) y
-    WHERE revenue IS NOT NULL AND cogs IS NOT NULL) z
-WHERE fy = {mc['year']} AND gm_before IS NOT NULL AND revenue > {int(mc['min_revenue'])}
-ORDER BY margin_change_pp ASC, cik LIMIT 20"""
+        "sub", "num", extra=yearly_tags(CONCEPTS["revenue"] + CONCEPTS["cogs"], "AND n.value > 0") + f""",
+year_margin AS (
+    SELECT cik, fy, MAX(name) AS name, {_f('revenue')} AS revenue, {_f('cogs')} AS cogs
+    FROM val GROUP BY cik, fy HAVING {_f('revenue')} IS NOT NULL AND {_f('cogs')} IS NOT NULL),
+margin AS (SELECT *, CAST(revenue - cogs AS DOUBLE) / CAST(revenue AS DOUBLE) AS gm FROM year_margin)""") + f"""
+SELECT now.cik, now.name, now.fy AS fiscal_year, now.revenue, now.gm AS gross_margin,
+       arg_max(old.gm, old.fy) AS prior_margin, now.gm - arg_max(old.gm, old.fy) AS margin_change_pp
+FROM margin now JOIN margin old ON old.cik = now.cik AND old.fy < now.fy
+WHERE now.fy = {mc['year']} AND now.revenue > {int(mc['min_revenue'])}
+GROUP BY now.cik, now.name, now.fy, now.revenue, now.gm
+ORDER BY margin_change_pp ASC, now.cik LIMIT 20"""
 
     q["restatement_pairs"] = sql_with("sub") + """
 SELECT o.cik, o.name, o.period, o.filed AS filed_original, a.filed AS filed_amended,
@@ -151,38 +163,33 @@ ORDER BY days_between DESC, o.cik, o.period, adsh_original, adsh_amended LIMIT 2
 
     ciks = _in(FIXTURE_PARAMS["top_expenses"]["ciks"])
     q["top_expenses"] = sql_with("sub", "num") + f"""
-SELECT f.name, CAST(year(f.period) AS INTEGER) AS fy, x.tag, x.value
-FROM sub f, LATERAL (
-    SELECT n.tag, n.value FROM num n
-    WHERE n.adsh = f.adsh AND n.ddate = f.period AND n.tag IN ({_in(EXPENSE_TAGS)})
-      AND {CA} AND n.value > 0
-    ORDER BY n.value DESC, n.tag, n.version LIMIT 3) x
-WHERE f.form = '10-K' AND f.period IS NOT NULL AND f.cik IN ({ciks})
-ORDER BY f.name, fy DESC, x.value DESC, x.tag"""
+SELECT name, fy, e.t AS tag, e.v AS value
+FROM (
+    SELECT any_value(f.name) AS name, CAST(year(any_value(f.period)) AS INTEGER) AS fy,
+           unnest(list(struct_pack(v := n.value, t := n.tag) ORDER BY n.value DESC, n.tag, n.version)[1:3]) AS e
+    FROM num n, sub f
+    WHERE f.adsh = n.adsh AND n.ddate = f.period AND f.form = '10-K' AND f.cik IN ({ciks})
+      AND n.tag IN ({_in(EXPENSE_TAGS)}) AND {CA} AND n.value > 0
+    GROUP BY n.adsh)
+ORDER BY name, fy DESC, value DESC, tag"""
 
     hp = FIXTURE_PARAMS["hhi_concentration"]
-    q["hhi_concentration"] = sql_with(
-        "sub", "num", extra=_rev_latest("s.cik, s.sic", "AND s.sic IS NOT NULL")) + f"""
+    q["hhi_concentration"] = sql_with("sub", "num", extra=yearly("AND s.sic IS NOT NULL") + f""",
+sector AS (
+    SELECT sic, fy, COUNT(*) AS firm_count, SUM(revenue) AS sector_revenue,
+           10000 * SUM(CAST(revenue AS DOUBLE) * CAST(revenue AS DOUBLE))
+             / (CAST(SUM(revenue) AS DOUBLE) * CAST(SUM(revenue) AS DOUBLE)) AS h
+    FROM rev WHERE fy = {hp['fy']} GROUP BY sic, fy)""") + f"""
 SELECT sic, fy, firm_count, sector_revenue, CAST(h AS DECIMAL(8,1)) AS hhi,
-       CASE WHEN h > 2500 THEN 'highly concentrated'
-            WHEN h > 1500 THEN 'moderately concentrated'
-            ELSE 'competitive' END AS concentration_label
-FROM (
-    SELECT r.sic, r.fy, t.firm_count, t.sector_revenue,
-           SUM(POWER(CAST(r.revenue AS DOUBLE) / CAST(t.sector_revenue AS DOUBLE) * 100, 2)) AS h
-    FROM rev_latest r
-    JOIN (SELECT sic, fy, SUM(revenue) AS sector_revenue, COUNT(*) AS firm_count
-          FROM rev_latest GROUP BY sic, fy
-          HAVING COUNT(*) >= {hp['min_firms']} AND SUM(revenue) > 0) t USING (sic, fy)
-    WHERE r.fy = {hp['fy']}
-    GROUP BY r.sic, r.fy, t.firm_count, t.sector_revenue) z
+       list_extract(['competitive', 'moderately concentrated', 'highly concentrated'],
+                    1 + CAST(h > 1500 AS INTEGER) + CAST(h > 2500 AS INTEGER)) AS concentration_label
+FROM sector WHERE firm_count >= {hp['min_firms']}
 ORDER BY hhi DESC, sic LIMIT 25"""
 
     ep = FIXTURE_PARAMS["etr_dispersion"]
     q["etr_dispersion"] = sql_with(
         "sub", "num",
-        extra=_tag_latest("s.cik, s.sic", CONCEPTS["pretax_income"] + CONCEPTS["income_tax"],
-                          "AND s.sic IS NOT NULL")) + f"""
+        extra=yearly_tags(CONCEPTS["pretax_income"] + CONCEPTS["income_tax"], "AND s.sic IS NOT NULL")) + f"""
 SELECT sic, fy, firms, ROUND(qs[1], 6) AS p25_etr, ROUND(qs[2], 6) AS median_etr,
        ROUND(qs[3], 6) AS p75_etr, ROUND(qs[3] - qs[1], 6) AS iqr
 FROM (
@@ -190,14 +197,14 @@ FROM (
     FROM (
         SELECT sic, fy, CAST(tax AS DOUBLE) / NULLIF(CAST(pretax AS DOUBLE), 0) AS rate
         FROM (SELECT cik, sic, fy, {_f('pretax_income')} AS pretax, {_f('income_tax')} AS tax
-              FROM tag_latest GROUP BY cik, sic, fy) p
+              FROM val GROUP BY cik, sic, fy) p
         WHERE pretax > 1000000 AND tax IS NOT NULL) r
     WHERE fy = {ep['fy']} AND rate BETWEEN -1 AND 1
     GROUP BY sic, fy HAVING COUNT(*) >= {ep['min_firms']}) d
 ORDER BY qs[3] - qs[1] DESC, sic LIMIT 20"""
 
     q["cash_conversion"] = sql_with(
-        "sub", "num", extra=_tag_latest("s.cik, s.name", CONCEPTS["cfo"] + CONCEPTS["net_income"])
+        "sub", "num", extra=yearly_tags(CONCEPTS["cfo"] + CONCEPTS["net_income"])
     ) + f"""
 SELECT cik, name, years_with_data,
        CAST(ROUND(avg_c, 9) AS DECIMAL(10,3)) AS avg_conversion,
@@ -209,7 +216,7 @@ FROM (
     FROM (
         SELECT cik, name, CAST(cfo AS DOUBLE) / NULLIF(CAST(ni AS DOUBLE), 0) AS conv
         FROM (SELECT cik, MAX(name) AS name, fy, {_f('cfo')} AS cfo, {_f('net_income')} AS ni
-              FROM tag_latest GROUP BY cik, fy) p
+              FROM val GROUP BY cik, fy) p
         WHERE cfo IS NOT NULL AND ni IS NOT NULL AND ni > 50000000) r
     WHERE conv BETWEEN 0 AND 5
     GROUP BY cik HAVING COUNT(*) >= 4) c
@@ -220,25 +227,23 @@ ORDER BY avg_conversion DESC, cik LIMIT 25"""
     tags = [tg for n in names for tg in CONCEPTS[n]]
     q["income_statement_wide"] = sql_with(
         "sub", "num",
-        extra=_tag_latest("s.cik, s.name", tags,
-                          f"AND n.value IS NOT NULL AND s.cik IN ({_in(ip['ciks'])})")) + f"""
+        extra=yearly_tags(tags, f"AND n.value IS NOT NULL AND s.cik IN ({_in(ip['ciks'])})")) + f"""
 SELECT MAX(name) AS name, fy,
        {', '.join(f'CAST({_f(n)} AS DECIMAL(28,0)) AS {n}' for n in names)}
-FROM tag_latest WHERE fy = {ip['fy']}
+FROM val WHERE fy = {ip['fy']}
 GROUP BY cik, fy ORDER BY revenue DESC NULLS FIRST, name"""
 
     fp = FIXTURE_PARAMS["fcf_margin"]
     q["fcf_margin"] = sql_with(
         "sub", "num",
-        extra=_tag_latest("s.cik, s.name, s.sic",
-                          CONCEPTS["revenue"] + CONCEPTS["cfo"] + CONCEPTS["capex"])) + f"""
+        extra=yearly_tags(CONCEPTS["revenue"] + CONCEPTS["cfo"] + CONCEPTS["capex"])) + f"""
 SELECT cik, name, sic, fy,
        CAST(revenue AS DECIMAL(28,0)) AS revenue, CAST(cfo AS DECIMAL(28,0)) AS cfo,
        CAST(capex AS DECIMAL(28,0)) AS capex, CAST(cfo - capex AS DECIMAL(28,0)) AS fcf,
        CAST(CAST(cfo - capex AS DOUBLE) / NULLIF(CAST(revenue AS DOUBLE), 0) AS DECIMAL(10,4)) AS fcf_margin
 FROM (SELECT cik, MAX(name) AS name, MAX(sic) AS sic, fy, {_f('revenue')} AS revenue,
              {_f('cfo')} AS cfo, {_f('capex')} AS capex
-      FROM tag_latest GROUP BY cik, fy) p
+      FROM val GROUP BY cik, fy) p
 WHERE fy = {fp['fy']} AND revenue > {int(fp['min_revenue'])}
   AND cfo IS NOT NULL AND capex IS NOT NULL
 ORDER BY fcf_margin DESC NULLS LAST, cik LIMIT 25"""
@@ -268,20 +273,22 @@ ORDER BY filing_count DESC, days_active DESC, cik LIMIT 25"""
 
     tp = FIXTURE_PARAMS["top5_share_shift"]
     a, b = tp["y0"], tp["y1"]
-    q["top5_share_shift"] = sql_with(
-        "sub", "num", extra=_rev_latest("s.cik, s.sic", "AND s.sic IS NOT NULL") + f""",
-sector_year AS (
-    SELECT sic, fy, COUNT(*) AS firms, SUM(revenue) AS total,
-           CAST(SUM(revenue) FILTER (WHERE rk <= 5) AS DOUBLE)
-             / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) AS share
-    FROM (SELECT sic, fy, revenue, rank() OVER (PARTITION BY sic, fy ORDER BY revenue DESC) AS rk
-          FROM rev_latest WHERE fy IN ({a}, {b})) r
-    GROUP BY sic, fy
-    HAVING SUM(revenue) > {int(tp['min_total'])} AND COUNT(*) >= {tp['min_firms']})""") + f"""
-SELECT x.sic, x.firms AS firms_{a}, y.firms AS firms_{b},
-       CAST(x.total AS DECIMAL(28,0)) AS total_{a}, CAST(y.total AS DECIMAL(28,0)) AS total_{b},
-       CAST(x.share AS DECIMAL(6,4)) AS top5_share_{a}, CAST(y.share AS DECIMAL(6,4)) AS top5_share_{b},
-       CAST(y.share - x.share AS DECIMAL(6,4)) AS share_change
-FROM sector_year x JOIN sector_year y ON x.sic = y.sic AND x.fy = {a} AND y.fy = {b}
-ORDER BY abs(y.share - x.share) DESC, x.sic LIMIT 25"""
+    q["top5_share_shift"] = sql_with("sub", "num", extra=yearly("AND s.sic IS NOT NULL") + f""",
+sized AS (
+    SELECT sic, fy, COUNT(*) AS firms, SUM(revenue) AS total, list_reverse_sort(list(revenue)) AS v
+    FROM rev WHERE fy IN ({a}, {b}) GROUP BY sic, fy
+    HAVING SUM(revenue) > {int(tp['min_total'])} AND COUNT(*) >= {tp['min_firms']}),
+led AS (
+    SELECT z.sic, z.fy, z.firms, z.total,
+           CAST(SUM(r.revenue) AS DOUBLE) / CAST(z.total AS DOUBLE) AS share
+    FROM sized z, rev r WHERE r.sic = z.sic AND r.fy = z.fy AND r.revenue >= z.v[least(5, z.firms)]
+    GROUP BY z.sic, z.fy, z.firms, z.total)""") + f"""
+SELECT sic, any_value(firms) FILTER (fy = {a}) AS firms_{a}, any_value(firms) FILTER (fy = {b}) AS firms_{b},
+       CAST(any_value(total) FILTER (fy = {a}) AS DECIMAL(28,0)) AS total_{a},
+       CAST(any_value(total) FILTER (fy = {b}) AS DECIMAL(28,0)) AS total_{b},
+       CAST(any_value(share) FILTER (fy = {a}) AS DECIMAL(6,4)) AS top5_share_{a},
+       CAST(any_value(share) FILTER (fy = {b}) AS DECIMAL(6,4)) AS top5_share_{b},
+       CAST(any_value(share) FILTER (fy = {b}) - any_value(share) FILTER (fy = {a}) AS DECIMAL(6,4)) AS share_change
+FROM led GROUP BY sic HAVING COUNT(*) = 2
+ORDER BY abs(any_value(share) FILTER (fy = {b}) - any_value(share) FILTER (fy = {a})) DESC, sic LIMIT 25"""
     return q
