@@ -2,7 +2,6 @@ from factlake.functions.columns import (  # noqa: F401
     days_between,
     fiscal_year,
     nonzero,
-    null_if_marker,
     parse_decimal,
     parse_int,
     parse_timestamp,

@@ -4,7 +4,6 @@ whole-stage codegen (no Python UDFs)."""
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,12 +47,6 @@ def to_decimal(c: ColumnOrName, precision: int, scale: int) -> Column:
     return _c(c).cast(f"decimal({precision},{scale})")
 
 
-def null_if_marker(c: ColumnOrName, markers: Iterable[str]) -> Column:
-    """Map any of the NULL marker strings to NULL."""
-    c = _c(c)
-    return F.when(c.isin(list(markers)), F.lit(None).cast("string")).otherwise(c)
-
-
 def parse_yyyymmdd(c: ColumnOrName, guard_range: bool = True) -> Column:
     """``YYYYMMDD`` text -> date; malformed text or out-of-range -> NULL
     (7-digit text such as ``2024011`` is rejected)."""

@@ -29,15 +29,13 @@ def orphans(child: DataFrame, parent: DataFrame, key: str | Sequence[str] = "ads
 
 def amendment_pairs(originals: DataFrame, amendments: DataFrame,
                     on: Sequence[str] = ("cik", "period"),
-                    min_days: int = 1, max_days: int = 1095, k: int = 25,
-                    tie_break: Sequence[str] = ("cik", "period", "adsh_original", "adsh_amended"),
-                    ) -> DataFrame:
+                    min_days: int = 1, max_days: int = 1095, k: int = 25) -> DataFrame:
     """Top-``k`` (original, amendment) filing pairs by days between them.
 
     Inputs: ``originals(on..., adsh_original, filed_original, <extra>)`` and
     ``amendments(on..., adsh_amended, filed_amended)``. A pair matches on
     ``on`` with ``filed_amended > filed_original`` and the gap in
-    [``min_days``, ``max_days``]. Output order: days desc, then ``tie_break``.
+    [``min_days``, ``max_days``]. Output order: days desc, ``on``, both accession numbers.
 
     All pairs inside one (cik, period) group are never materialised. Pairs
     are first counted per *filing date* pair (dates per group are bounded by
@@ -79,6 +77,6 @@ def amendment_pairs(originals: DataFrame, amendments: DataFrame,
 
     pairs = (o_rows.join(a_rows, on)
              .where(days_between("filed_amended", "filed_original") == F.col("days_between")))
-    order = [F.col("days_between").desc(), *[F.col(c).asc() for c in tie_break]]
+    order = [F.col("days_between").desc(), *[F.col(c).asc() for c in (*on, "adsh_original", "adsh_amended")]]
     return pairs.orderBy(*order).limit(k)
 

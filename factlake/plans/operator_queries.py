@@ -607,52 +607,126 @@ def dq_report_q(t):
     return dq_report(t)
 
 
-_RT_KEYS = {"num": ", ".join(NUM_KEY), "pre": "adsh, report, line"}
-
-
-@_register("ingest_roundtrip", sql_with("sub", "num", "tag", "pre", extra=f"""fq AS (
-    SELECT adsh, quarter FROM sub
-), counts AS (
-    SELECT quarter, 'sub' AS table_name, COUNT(*) AS row_count FROM sub GROUP BY quarter
-    UNION ALL
-    SELECT quarter, 'num', COUNT(*) FROM (
-        SELECT DISTINCT f.quarter, {', '.join('n.' + k for k in NUM_KEY)}
-        FROM num n JOIN fq f ON n.adsh = f.adsh) d GROUP BY quarter
-    UNION ALL
-    SELECT quarter, 'pre', COUNT(*) FROM (
-        SELECT DISTINCT f.quarter, p.adsh, p.report, p.line
-        FROM pre p JOIN fq f ON p.adsh = f.adsh) d GROUP BY quarter
-    UNION ALL
-    SELECT quarter, 'tag', COUNT(*) FROM (
-        SELECT n.tag, n.version, MIN(f.quarter) AS quarter
-        FROM num n JOIN fq f ON n.adsh = f.adsh GROUP BY n.tag, n.version) d GROUP BY quarter
-)""") + "SELECT quarter, table_name, row_count FROM counts")
-def ingest_roundtrip(t):
-    """S1-S12, C1-C12 end to end: the fixture tables are written by Spark as
-    quarterly tab-separated files into the shared checkpoint folder, loaded
-    with the ingest job, and the lake's rows per quarter and table returned."""
+# Columns compared after a load: those that the SQL fixture has.
+_LOADED = {
+    "sub": ["adsh", "cik", "name", "sic", "afs", "form", "period", "filed"],
+    "tag": ["tag", "version", "custom", "abstract", "tlabel"],
+    "num": [*NUM_KEY, "value"], "pre": PRE_COLUMNS,
+}
+
+
+def _row_sql(table: str) -> str:
+    """SQL: a row's columns as one text."""
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in _LOADED[table])
+
+
+def _loaded_rows(lake_tables) -> DataFrame:
+    """(table_name, quarter, row_text) of every row of a lake."""
+    out = None
+    for table, cols in _LOADED.items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
+        rows = getattr(lake_tables, table).select(F.lit(table).alias("table_name"), "quarter", text.alias("row_text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# Files list facts by falling value, so the first listed of equal keys is the largest.
+_FIRST_LISTED = f"""SELECT {', '.join(k for k in NUM_KEY)}, max(value) AS value FROM {{}} GROUP BY ALL"""
+
+_ROUNDTRIP_SQL = sql_with("sub", "num", "tag", "pre", extra=f"""facts AS ({_FIRST_LISTED.format('num')})""") + f"""
+SELECT 'sub' AS table_name, quarter, {_row_sql('sub')} AS row_text FROM sub
+UNION ALL
+SELECT 'num', (SELECT s.quarter FROM sub s WHERE s.adsh = facts.adsh), {_row_sql('num')} FROM facts
+WHERE adsh IN (SELECT adsh FROM sub)
+UNION ALL
+SELECT 'pre', (SELECT s.quarter FROM sub s WHERE s.adsh = pre.adsh), {_row_sql('pre')} FROM pre
+WHERE adsh IN (SELECT adsh FROM sub)
+UNION ALL
+SELECT 'tag', (SELECT min(s.quarter) FROM num n, sub s WHERE n.adsh = s.adsh AND n.tag = tag.tag AND n.version = tag.version),
+       {_row_sql('tag')} FROM tag
+WHERE EXISTS (FROM num n, sub s WHERE n.adsh = s.adsh AND n.tag = tag.tag AND n.version = tag.version)"""
+
+
+def _load_folder(spark) -> str:
     import uuid
 
-    from factlake.plans.ingest import ingest_quarters
     from factlake.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/factlake-roundtrip-{uuid.uuid4().hex}"
+
+
+def _loaded(spark, work: str, tables, name: str) -> None:
+    """Write the tables as quarterly files and load them into ``work``/lake."""
+    from factlake.plans.ingest import ingest_quarters
     from factlake.sources.export import write_quarter_files
-    from factlake.sources.lake import LakeTables
     from factlake.sources.tsv import SPARK_LAYOUT
 
-    spark = t.sub.sparkSession
-    work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factlake-roundtrip-{uuid.uuid4().hex}"
-    quarters = write_quarter_files(t, f"{work}/raw")
-    res = ingest_quarters(spark, f"{work}/raw", f"{work}/lake", quarters, layout=SPARK_LAYOUT)
+    quarters = write_quarter_files(tables, f"{work}/{name}")
+    res = ingest_quarters(spark, f"{work}/{name}", f"{work}/lake", quarters, layout=SPARK_LAYOUT)
     if res.failed:
         raise RuntimeError(f"quarters failed to load: {res.failed}")
-    lake = LakeTables(spark, f"{work}/lake")
-    parts = [getattr(lake, name).groupBy("quarter").agg(F.count(F.lit(1)).alias("row_count"))
-             .select("quarter", F.lit(name).alias("table_name"), "row_count")
-             for name in ("sub", "num", "pre", "tag")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+
+@_register("ingest_roundtrip", _ROUNDTRIP_SQL)
+def ingest_roundtrip(t):
+    """S1-S13, C1-C12 end to end: the fixture tables are written by Spark as
+    quarterly tab-separated files into the shared checkpoint folder, loaded
+    with the ingest job, and every row of the lake is returned."""
+    from factlake.sources.lake import LakeTables
+
+    spark = t.sub.sparkSession
+    work = _load_folder(spark)
+    _loaded(spark, work, t, "raw")
+    return _loaded_rows(LakeTables(spark, f"{work}/lake"))
+
+
+_AMENDED = "'1996q1', '1997q2'"
+
+_INCREMENTAL_SQL = sql_with("sub", "num", "tag", "pre", extra=f"""late AS (
+    SELECT * FROM sub WHERE quarter IN ({_AMENDED})),
+facts AS ({_FIRST_LISTED.format('num')}),
+late_facts AS (SELECT * REPLACE (CAST(value + 1 AS DECIMAL(28,4)) AS value) FROM facts WHERE adsh IN (SELECT adsh FROM late)),
+late_pre AS (SELECT * REPLACE ('Amended ' || plabel AS plabel) FROM pre WHERE adsh IN (SELECT adsh FROM late))""") + f"""
+SELECT 'sub' AS table_name, quarter, {_row_sql('sub')} AS row_text FROM sub WHERE adsh NOT IN (SELECT adsh FROM late)
+UNION ALL
+SELECT 'sub', '2099q1', {_row_sql('sub')} FROM (SELECT * REPLACE ('Amended ' || name AS name) FROM late)
+UNION ALL
+SELECT 'num', (SELECT s.quarter FROM sub s WHERE s.adsh = facts.adsh), {_row_sql('num')} FROM facts
+WHERE adsh IN (SELECT adsh FROM sub) AND adsh NOT IN (SELECT adsh FROM late)
+UNION ALL
+SELECT 'num', '2099q1', {_row_sql('num')} FROM late_facts
+UNION ALL
+SELECT 'pre', (SELECT s.quarter FROM sub s WHERE s.adsh = pre.adsh), {_row_sql('pre')} FROM pre
+WHERE adsh IN (SELECT adsh FROM sub) AND adsh NOT IN (SELECT adsh FROM late)
+UNION ALL
+SELECT 'pre', '2099q1', {_row_sql('pre')} FROM late_pre
+UNION ALL
+SELECT 'tag', (SELECT min(s.quarter) FROM num n, sub s WHERE n.adsh = s.adsh AND n.tag = tag.tag AND n.version = tag.version),
+       {_row_sql('tag')} FROM tag
+WHERE EXISTS (FROM num n, sub s WHERE n.adsh = s.adsh AND n.tag = tag.tag AND n.version = tag.version)"""
+
+
+@_register("ingest_incremental", _INCREMENTAL_SQL)
+def ingest_incremental(t):
+    """S9-S13 on a lake that holds rows: after all quarters, a later one relists
+    the filings of two of them with other names, values and labels, and repeats
+    their tags with other labels. Filings are replaced, tags are not."""
+    from types import SimpleNamespace
+
+    from factlake.sources.lake import LakeTables
+
+    spark = t.sub.sparkSession
+    work = _load_folder(spark)
+    _loaded(spark, work, t, "raw")
+    late = t.sub.where(f"quarter in ({_AMENDED})").withColumns(
+        {"quarter": F.lit("2099q1"), "name": F.concat(F.lit("Amended "), "name")})
+    ids = late.select("adsh")
+    again = SimpleNamespace(
+        sub=late, num=t.num.join(ids, "adsh", "left_semi").withColumn("value", (F.col("value") + 1).cast("decimal(28,4)")),
+        pre=t.pre.join(ids, "adsh", "left_semi").withColumn("plabel", F.concat(F.lit("Amended "), "plabel")),
+        tag=t.tag.withColumn("tlabel", F.concat(F.lit("Later "), "tlabel")))
+    _loaded(spark, work, again, "late")
+    return _loaded_rows(LakeTables(spark, f"{work}/lake"))
 
 
 def operator_queries() -> dict[str, Query]:

@@ -137,13 +137,3 @@ MEGACAP_CIKS = [320193, 789019, 1652044, 1018724, 1326801]
 MEGACAP_CIKS_WITH_BRK = [320193, 789019, 1652044, 1018724, 1326801, 1067983]
 SECTOR_SICS = [2834, 7372, 6022, 7370, 1311]
 BLANK_CHECK_SIC = 6770
-
-
-def concept_tags(*names: str) -> list[str]:
-    """Union of the tags of several concepts, order kept, no repeats."""
-    out: list[str] = []
-    for n in names:
-        for t in CONCEPTS[n]:
-            if t not in out:
-                out.append(t)
-    return out

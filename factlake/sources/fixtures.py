@@ -142,8 +142,9 @@ def fixture_pre(lineitem: DataFrame) -> DataFrame:
     tag = _fixture_tag_col(F.col("l_partkey"))
     return lineitem.select(
         F.col("l_orderkey").cast("string").alias("adsh"),
-        F.col("l_linenumber").cast("smallint").alias("report"),
-        (F.col("l_partkey") % 1000).cast("smallint").alias("line"),
+        (F.col("l_linenumber") + 10 * (F.col("l_suppkey") % 100)).cast("smallint").alias("report"),
+        ((F.col("l_partkey") * 31 + F.col("l_quantity").cast("int")
+          + 97 * F.datediff("l_shipdate", F.lit("1970-01-01").cast("date"))) % 30011).cast("smallint").alias("line"),
         stmt.alias("stmt"),
         F.lit(0).cast("tinyint").alias("inpth"),
         F.lit("H").alias("rfile"),
@@ -263,8 +264,9 @@ SQL_VIEWS = {
     "pre": f"""pre AS (
     SELECT
         CAST(l_orderkey AS VARCHAR) AS adsh,
-        CAST(l_linenumber AS SMALLINT) AS report,
-        CAST(l_partkey % 1000 AS SMALLINT) AS line,
+        CAST(l_linenumber + 10 * (l_suppkey % 100) AS SMALLINT) AS report,
+        CAST((l_partkey * 31 + CAST(l_quantity AS INTEGER)
+              + 97 * date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) % 30011 AS SMALLINT) AS line,
         CASE l_returnflag WHEN 'A' THEN 'IS' WHEN 'N' THEN 'BS' WHEN 'R' THEN 'CF' END AS stmt,
         {_sql_tag_expr('l_partkey')} AS tag,
         'us-gaap/' || CAST(2022 + l_suppkey % 3 AS VARCHAR) AS version,

@@ -5,7 +5,9 @@ Streaming file source over the quarters' ``sub`` files notices new folders;
 each micro-batch loads exactly the quarters it saw with the batch load job
 (``ingest_quarters``), which is idempotent, so a batch retried after a
 failure gives the same lake. The stream's checkpoint (a shared folder)
-records which files were handled, so every quarter is loaded once.
+records which files were handled, so every quarter is loaded once. A quarter
+whose other files have not landed yet fails its batch after the complete ones
+are loaded; the batch is run again when the stream is started next.
 
 Only the file *paths* are read (binary-file source, content column not
 selected); the set of quarter labels in a batch is tiny (one per folder).
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from factlake.plans.ingest import ingest_quarters
-from factlake.sources.tsv import DEFAULT_LAYOUT, quarter_of_path
+from factlake.sources.tsv import DEFAULT_LAYOUT, missing_inputs, quarter_of_path
 
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -29,6 +31,10 @@ BINARY_FILE_SCHEMA = T.StructType([
 ])
 
 
+class IncompleteQuarter(RuntimeError):
+    """A quarter's other files have not landed yet."""
+
+
 def _sub_glob(raw_dir: str, layout: str) -> str:
     path = layout.format(raw=raw_dir.rstrip("/"), quarter="*", table="sub")
     return path if path.endswith(".txt") else path + "/*"
@@ -46,8 +52,14 @@ def watch_quarters(spark: SparkSession, raw_dir: str, lake_dir: str, checkpoint:
     def load_batch(batch: DataFrame, batch_id: int) -> None:
         quarters = sorted(r["quarter"] for r in batch.select("quarter").distinct().collect()
                           if r["quarter"])
-        if quarters:
-            ingest_quarters(spark, raw_dir, lake_dir, quarters, layout=layout)
+        if not quarters:
+            return
+        waiting = {q: m for q in quarters if (m := missing_inputs(spark, raw_dir, q, layout))}
+        ready = [q for q in quarters if q not in waiting]
+        if ready:
+            ingest_quarters(spark, raw_dir, lake_dir, ready, layout=layout)
+        if waiting:  # the batch is not committed, so the next run sees these quarters again
+            raise IncompleteQuarter("; ".join(f"{q} lacks {', '.join(m)}" for q, m in waiting.items()))
 
     writer = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     writer = (writer.trigger(availableNow=True) if available_now

@@ -30,7 +30,7 @@ def test_cleaning_rules(spark, scratch):
          num_row("A1", tag="Far", ddate="29240101"), num_row("A1", tag="Seven", ddate="2024011"),
          num_row("A1", tag="V1", value="1.23456"), num_row("A1", tag="V2", value="2.50E7"),
          num_row("A1", tag="V3", value="abc"), num_row("A1", tag="NoUom", uom=""),
-         num_row("A1", tag="Dup"), num_row("A1", tag="Dup", value="999")],
+         num_row("A1", tag="Dup", value="999"), num_row("A1", tag="Dup")],
         [pre_row("A1")])
     res = _load(spark, scratch, ["2024q1"])
     assert res.failed == {}
@@ -44,7 +44,7 @@ def test_cleaning_rules(spark, scratch):
     assert nums["V2"]["value"] == Decimal("25000000.0000")
     assert nums["V3"]["value"] is None
     assert nums["Revenues"]["segments"] == "" and nums["Revenues"]["coreg"] == ""
-    assert nums["Dup"]["value"] == Decimal("100.5000")      # first by value wins
+    assert nums["Dup"]["value"] == Decimal("999.0000")      # the first listed wins
     assert [r["tag"] for r in t.tag.collect()] == ["Revenues"]   # empty version dropped
     audit = {r["table_name"]: r for r in res.audit.collect() if r["quarter"] == "2024q1"}
     assert audit["num"]["rows_read"] == 10 and audit["num"]["dropped_null_key"] == 4
@@ -97,7 +97,9 @@ def test_long_short_lines_utf8_and_header_order(spark, scratch):
     raw = f"{scratch}/raw"
     cols = list(reversed(COLUMNS["num"])) + ["extra"]
     write_table(raw, "2024q1", "num", [dict(num_row("A1"), extra="x")], columns=cols,
-                extra_lines=["\t".join(["1"] * (len(cols) + 2)),      # too many fields
+                extra_lines=["\t".join(["1"] * (len(cols) + 2)),      # too many fields, no date
+                             "\t".join(["", "7", "", "", "USD", "4", "20231231", "us-gaap/2023",
+                                        "Long", "A1", "x", "one too many"]),
                              "\t".join(["", "", "", "", "USD", "4", "20231231", "us-gaap/2023",
                                         "Short", "A1"])])            # one field short
     header = "\t".join(COLUMNS["sub"]).encode()
@@ -113,9 +115,66 @@ def test_long_short_lines_utf8_and_header_order(spark, scratch):
     t = _lake(spark, scratch)
     assert t.sub.first()["name"] == "Bad�Name"
     nums = sorted(r["tag"] for r in t.num.collect())
-    assert nums == ["Revenues", "Short"]
+    assert nums == ["Long", "Revenues", "Short"]      # a long line keeps its first fields
+    assert {r["tag"]: r["value"] for r in t.num.collect()}["Long"] == Decimal(7)
     audit = {r["table_name"]: r for r in res.audit.collect()}
-    assert audit["num"]["dropped_long_lines"] == 1
+    assert audit["num"]["long_lines"] == 2 and audit["num"]["dropped_null_key"] == 1
+
+
+def test_missing_column_or_required_value_fails_the_quarter(spark, scratch):
+    raw = f"{scratch}/raw"
+    write_quarter(raw, "2024q1", [sub_row("A1")], [tag_row("Revenues")], [num_row("A1")], [pre_row("A1")])
+    for q, adsh in (("2024q2", "B1"), ("2024q3", "C1"), ("2024q4", "D1")):
+        write_quarter(raw, q, [sub_row(adsh)], [tag_row("Other")], [num_row(adsh)], [pre_row(adsh)])
+    write_table(raw, "2024q2", "num", [dict(num_row("B1"), valu="5")],
+                columns=[c if c != "value" else "valu" for c in COLUMNS["num"]])
+    write_table(raw, "2024q3", "tag", [tag_row("Other", custom="")])
+    write_table(raw, "2024q4", "pre", [pre_row("D1", rfile="NA")])
+    res = _load(spark, scratch, ["2024q1", "2024q2", "2024q3", "2024q4"])
+    assert res.failed["2024q2"] == "missing columns: num: value"
+    assert res.failed["2024q3"] == "missing required value in tag"
+    assert res.failed["2024q4"] == "missing required value in pre"
+    assert [r["adsh"] for r in _lake(spark, scratch).num.collect()] == ["A1"]
+
+
+def test_part_files_bind_by_their_own_headers(spark, scratch):
+    from factlake.sources.tsv import read_tsv
+
+    os.makedirs(f"{scratch}/f")
+    for name, text in (("part-0", "a\tb\n1\t2\n"), ("part-1", "b\ta\n10\t20\n"), ("part-2", "")):
+        with open(f"{scratch}/f/{name}", "w") as f:
+            f.write(text)
+    rows = sorted((r["a"], r["b"]) for r in read_tsv(spark, f"{scratch}/f", ["a", "b"]).collect())
+    assert rows == [("1", "2"), ("20", "10")]
+    with pytest.raises(ValueError, match="lacks"):
+        read_tsv(spark, f"{scratch}/f", ["a", "c"])
+
+
+def test_failed_commit_and_concurrent_load_leave_the_lake(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from factlake.sources import lake
+
+    raw, lk = f"{scratch}/raw", f"{scratch}/lake"
+    write_quarter(raw, "2024q1", [sub_row("A1")], [tag_row("Revenues")], [num_row("A1")], [pre_row("A1")])
+    first = _load(spark, scratch, ["2024q1"]).snapshot
+    assert not os.path.exists(f"{lk}/snapshots/{first}/_stage")
+    bad = spark.range(1).select(F.raise_error(F.lit("audit")).cast("string").alias("quarter"))
+    with pytest.raises(Exception, match="audit"):
+        lake.commit_snapshot(spark, lk, "99990101T000000000000Z", bad, base=first)
+    assert current_snapshot(spark, lk) == first
+    with pytest.raises(lake.ConcurrentLoad):
+        lake.commit_snapshot(spark, lk, "99990102T000000000000Z", spark.range(1), base=None)
+    assert current_snapshot(spark, lk) == first
+
+
+def test_quarter_bounds_list_only_their_folders(spark, scratch):
+    raw = f"{scratch}/raw"
+    write_quarter(raw, "2024q1", [sub_row("A1")], [tag_row("Revenues")], [num_row("A1")], [pre_row("A1")])
+    write_quarter(raw, "2024q2", [sub_row("B1")], [tag_row("Revenues")], [num_row("B1")], [pre_row("B1")])
+    _load(spark, scratch, ["2024q1", "2024q2"])
+    t = LakeTables(spark, f"{scratch}/lake", quarters=["2024q2"])
+    assert all("quarter=2024q2" in f for f in t.num.inputFiles()) and t.num.first()["adsh"] == "B1"
 
 
 def test_quarter_labels():
