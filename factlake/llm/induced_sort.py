@@ -376,12 +376,29 @@ def sorted_minima(text: np.ndarray, size: int, disk: Disk) -> np.ndarray:
     for at in range(0, m, BLOCK * 16):
         reduced[np.searchsorted(low, by_substring[at: at + BLOCK * 16])] = names[at: at + BLOCK * 16]
     del by_substring, names
-    order = suffix_order(reduced, count + 1, disk)
+    small = 32 * m <= disk.budget  # the recursion's end: the names fit into memory
+    order = doubled_order(np.asarray(reduced)) if small else suffix_order(reduced, count + 1, disk)
     for at in range(0, m, BLOCK * 16):
         order[at: at + BLOCK * 16] = low[order[at: at + BLOCK * 16]]
     return order
 
 
+def doubled_order(names: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of a string of names in memory, by prefixes of
+    twice the length in each round."""
+    m, rank, width = len(names), names.astype(np.int64), 1
+    while True:
+        key = rank * (m + 1)
+        key[:-width] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        rank[order] = new
+        width *= 2
+        if new[-1] == m - 1:
+            return order
+
+
 def _differ(text: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the substrings from a and from b to the next minimum differ."""
     n = len(text)
