@@ -14,15 +14,17 @@ from factlake.session import ensure_checkpoint_dir
 # --------------------------------------------------------------------------
 # Sorting a whole group (or buffering all its distinct values, as the built-in
 # exact ``percentile`` does on its final merge) puts an unbounded group into
-# one task. Instead we select order statistics in two bounded steps:
-#   1. histogram of each group over a fixed, monotone bucketing of the value
-#      (binary exponent + 12 mantissa bits: relative width 1/4096); the
-#      per-group cumulative count over its buckets locates the bucket that
-#      holds each wanted rank.
-#   2. only rows of those target buckets are joined back (equi-join on the
-#      group and bucket id), counted per distinct value, and walked.
-# Each step is a partially aggregated shuffle; windows only ever see one
-# group's populated buckets or one bucket's distinct values.
+# one task. Instead the rows are counted per (group, value), with map-side
+# combining, and that table is written once; order statistics are found in it by
+# two bounded levels of buckets:
+#   1. a fixed, monotone bucketing of the value (binary exponent + 12 mantissa
+#      bits: relative width 1/4096); the cumulative count over a group's buckets
+#      locates the bucket that holds each wanted rank;
+#   2. inside it, buckets of relative width 2^-32; the cumulative count over
+#      these locates the few values that are walked.
+# Windows only ever see one group's populated buckets, one bucket's populated
+# finer ones, or one finer bucket's distinct values. There is one path for all
+# sizes, and no forced broadcast.
 
 _MANT_BITS = 12
 _SHIFT = 1 << 14          # room for the mantissa slot (0 .. 8192)
@@ -39,10 +41,12 @@ def _magnitude_slot(u: Column) -> Column:
 
 
 def value_bucket(v: Column) -> Column:
-    """Order-preserving bucket id (long) of a double: negatives < 0 < positives."""
+    """Order-preserving bucket id (long) of a double: -Infinity, negatives, zero,
+    positives, Infinity, NaN."""
+    inf = F.lit(float("inf"))
     slot = _magnitude_slot(F.abs(v))
-    return (F.when(v > 0, 3 * _CLASS + slot)
-            .when(v == 0, F.lit(2 * _CLASS))
+    return (F.when(F.isnan(v), F.lit(5 * _CLASS)).when(v == inf, F.lit(4 * _CLASS + _CLASS - 1)).when(v == -inf, F.lit(0))
+            .when(v > 0, 3 * _CLASS + slot).when(v == 0, F.lit(2 * _CLASS))
             .otherwise(_CLASS + (_CLASS - 1 - slot))).cast("long")
 
 
@@ -50,116 +54,74 @@ def fine_bucket(v: Column) -> Column:
     """Second-level key inside a ``value_bucket``: the mantissa scaled to 32
     bits (relative width 2^-32), order-preserving within one bucket."""
     u = F.abs(v)
+    plain = ~F.isnan(v) & (u < F.lit(float("inf"))) & (v != 0)
     e = F.floor(F.log2(u))
-    f = F.coalesce(F.when(e.between(-1000, 1000),
-                          F.floor(u * F.pow(F.lit(2.0), -e) * F.lit(float(1 << 32)))), F.lit(0))
-    return F.when(v > 0, f).when(v == 0, F.lit(0)).otherwise(-f).cast("long")
+    f = F.when(plain, F.coalesce(F.when(e.between(-1000, 1000), F.floor(
+        u * F.pow(F.lit(2.0), -e) * F.lit(float(1 << 32)))), F.lit(0))).otherwise(F.lit(0))
+    return F.when(v < 0, -f).otherwise(f).cast("long")
 
 
-# Targets (one row per group and wanted rank) are broadcast to the value
-# scan when there are at most this many; beyond it the join is a shuffle join.
-TARGET_BROADCAST_ROWS = 2_000_000
-# A located bucket holding more rows than this is narrowed by a second
-# bucketing level before its distinct values are walked.
-REFINE_ROWS = 5_000_000
-
 _TARGET = ["_i", "_side", "_r", "_below", "_pos", "_n"]
 
 
-def _materialise(want: DataFrame, broadcast_rows: int,
-                 size_col: str | None = None) -> tuple[DataFrame, int]:
-    """Reliable checkpoint of a small target table; one aggregate over it
-    gives its row count (broadcast only within ``broadcast_rows``) and the
-    largest value of ``size_col``."""
-    ensure_checkpoint_dir(want.sparkSession)
-    want = want.checkpoint(eager=True)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if size_col:
-        aggs.append(F.max(size_col).alias("m"))
-    stats = want.agg(*aggs).first()
-    biggest = (stats["m"] or 0) if size_col else 0
-    return (F.broadcast(want) if stats["n"] <= broadcast_rows else want), biggest
-
-
-def _rows_of_targets(base: DataFrame, want: DataFrame, group, keys, carry=()) -> DataFrame:
+def _rows_of_targets(base: DataFrame, want: DataFrame, group, keys) -> DataFrame:
     """Rows of ``base`` in each target's bucket (NULL is a group of its own,
     as in GROUP BY, so the group is joined null-safely)."""
     b, w = base.alias("b"), want.alias("w")
     cond = ([F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in group]
             + [F.col(f"b.{k}") == F.col(f"w.{k}") for k in keys])
-    return b.join(w, cond).select(*[F.col(f"b.{c}") for c in group], F.col("b._v"),
-                                  *[F.col(f"b.{k}") for k in (*keys, *carry)],
-                                  *[F.col(f"w.{c}") for c in _TARGET])
+    return b.join(w, cond).select(*[F.col(f"b.{c}") for c in base.columns], *[F.col(f"w.{c}") for c in _TARGET])
+
+
+def _located(counts: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """The rows of ``counts`` (by, key, _c, targets with ranks below which
+    ``_below`` lie) that hold their target's rank."""
+    cum = F.col("_below") + F.sum("_c").over(
+        Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    held = counts.withColumn("_cum", cum).where((F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_cum")))
+    return held.withColumn("_below", F.col("_cum") - F.col("_c")).drop("_cum")
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
                 probs: Sequence[float], names: Sequence[str],
-                count_name: str | None = None,
-                broadcast_rows: int = TARGET_BROADCAST_ROWS,
-                refine_rows: int = REFINE_ROWS) -> DataFrame:
+                count_name: str | None = None, sum_name: str | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per group.
 
     Linear interpolation between the order statistics ``floor(p*(n-1))`` and
-    ``ceil(p*(n-1))`` (0-based), computed in double; NULL values are ignored.
-    Returns ``group`` + ``names`` (+ ``count_name`` = n if given). Groups whose
-    values are all NULL are absent.
-
-    The small target table (2 x len(probs) rows per group) is materialised
-    with a reliable ``checkpoint()`` and counted; only when the count is
-    within ``broadcast_rows`` is it broadcast to the value scan, so the scan
-    is never shuffled for this join (and a bucket holding a large share of
-    the rows never lands in one task). Beyond it, a shuffle join. When a
-    located bucket holds more than ``refine_rows`` rows, a second bucketing
-    level (relative width 2^-32) locates the rank inside it first.
+    ``ceil(p*(n-1))`` (0-based), computed in double; NULL values are ignored, NaN
+    is larger than Infinity. Returns ``group`` + ``names`` (+ ``count_name``: n,
+    ``sum_name``: the sum of the values in their own type). Groups whose values
+    are all NULL are absent. ``df`` is read once: its counts per (group, value)
+    are cut by a reliable ``checkpoint()``.
     """
     group = list(group)
     v = F.col(value) if isinstance(value, str) else value
-    base = (df.select(*group, v.cast("double").alias("_v"))
-            .where(F.col("_v").isNotNull())
-            .withColumn("_b", value_bucket(F.col("_v"))))
-
-    # Step 1: histogram over buckets, cumulative counts per group.
-    hist = base.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wcum = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*group)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(wcum))
-            .withColumn("_n", F.sum("_c").over(wall)))
-
-    # Wanted ranks per group: lo/hi order statistic of every probability.
-    targets = _targets(probs)
-    # The bucket holding rank r: cum - c <= r < cum.
-    located = (hist.select(*group, "_b", "_c", "_cum", "_n",
-                           F.explode(F.array(*targets)).alias("_t"))
-               .select(*group, "_b", "_c", "_n", (F.col("_cum") - F.col("_c")).alias("_below"),
-                       "_cum", "_t.*")
-               .where((F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))))
-    want, biggest = _materialise(located.select(*group, "_b", "_c", *_TARGET), broadcast_rows,
-                                 size_col="_c")
-    keys = ["_b"]
-
-    # Optional second level: narrow very large located buckets first.
-    if biggest > refine_rows:
-        base = base.withColumn("_b2", fine_bucket(F.col("_v")))
-        rows = _rows_of_targets(base, want, group, ["_b"], carry=["_b2"]).drop("_v")
-        h2 = rows.groupBy(*group, "_b", "_b2", *_TARGET).agg(F.count(F.lit(1)).alias("_c2"))
-        w2 = (Window.partitionBy(*group, "_i", "_side").orderBy("_b2")
-              .rowsBetween(Window.unboundedPreceding, 0))
-        h2 = h2.withColumn("_cum2", F.col("_below") + F.sum("_c2").over(w2))
-        located2 = (h2.where((F.col("_cum2") - F.col("_c2") <= F.col("_r"))
-                             & (F.col("_r") < F.col("_cum2")))
-                    .withColumn("_below", F.col("_cum2") - F.col("_c2")))
-        want, _ = _materialise(located2.select(*group, "_b", "_b2", *_TARGET), broadcast_rows)
-        keys = ["_b", "_b2"]
-
-    # Step 2: rows of the target buckets only, counted per distinct value.
-    cand = (_rows_of_targets(base, want, group, keys)
-            .groupBy(*group, *_TARGET, "_v").agg(F.count(F.lit(1)).alias("_vc")))
-    wv = (Window.partitionBy(*group, "_i", "_side").orderBy("_v")
-          .rowsBetween(Window.unboundedPreceding, 0))
-    picked = (cand.withColumn("_vcum", F.col("_below") + F.sum("_vc").over(wv))
-              .where((F.col("_vcum") - F.col("_vc") <= F.col("_r")) & (F.col("_r") < F.col("_vcum"))))
-
-    return _assemble(picked, group, probs, names, count_name)
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = (df.select(*group, v.alias("_x")).where(F.col("_x").isNotNull())
+              .groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")).checkpoint())
+    base = counts.withColumn("_v", F.col("_x").cast("double"))
+    base = base.withColumn("_b", value_bucket(F.col("_v"))).withColumn("_b2", fine_bucket(F.col("_v")))
+
+    # the bucket of each wanted rank: lo/hi order statistic of every probability
+    hist = base.groupBy(*group, "_b").agg(F.sum("_c").alias("_c"))
+    hist = hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
+    hist = hist.select(*group, "_b", "_c", "_n", F.lit(0).cast("long").alias("_below"), F.explode(F.array(*_targets(probs))).alias("_t"))
+    side = [*group, "_i", "_side"]
+    want = _located(hist.select(*group, "_b", "_c", "_n", "_below", "_t.*"), side, "_b").select(*group, "_b", *_TARGET)
+    rows = _rows_of_targets(base.select(*group, "_b", "_b2", "_v", "_c"), want, group, ["_b"])
+    # the finer bucket inside it
+    fine = rows.groupBy(*group, "_b2", *_TARGET).agg(F.sum("_c").alias("_c"))
+    inner = _located(fine, side, "_b2").select(*group, "_b2", "_i", "_side", F.col("_below").alias("_low"))
+    r, i = rows.alias("r"), inner.alias("i")
+    near = r.join(i, [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in group]
+                  + [F.col(f"r.{k}") == F.col(f"i.{k}") for k in ("_b2", "_i", "_side")])
+    near = near.select(*[F.col(f"r.{c}") for c in (*group, "_v", "_c", "_i", "_side", "_r", "_pos", "_n")], F.col("i._low").alias("_below"))
+    out = _assemble(_located(near, side, "_v"), group, probs, names, count_name)
+    if sum_name:
+        totals = counts.groupBy(*group).agg(F.sum(F.col("_x") * F.col("_c")).alias(sum_name))
+        o, t = out.alias("o"), totals.alias("t")
+        out = o.join(t, [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in group]).select("o.*", f"t.{sum_name}")
+    return out
 
 
 def _targets(probs: Sequence[float]) -> list[Column]:
@@ -174,13 +136,13 @@ def _targets(probs: Sequence[float]) -> list[Column]:
     return out
 
 
-def _assemble(picked: DataFrame, group, probs, names, count_name) -> DataFrame:
+def _assemble(picked: DataFrame, group, probs, names, count_name, extra=()) -> DataFrame:
     """From one row per (group, prob, side) holding the order statistic
     ``_v``: one grouped pass, then linear interpolation as a projection."""
     def pick(i, side):
         return F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_v")))
 
-    aggs = [F.max("_n").alias("_n")]
+    aggs = [F.max("_n").alias("_n"), *[F.max(c).alias(c) for c in extra]]
     for i in range(len(probs)):
         aggs += [pick(i, "lo").alias(f"_lo{i}"), pick(i, "hi").alias(f"_hi{i}"),
                  F.max(F.when(F.col("_i") == i, F.col("_pos"))).alias(f"_pos{i}")]
@@ -189,32 +151,35 @@ def _assemble(picked: DataFrame, group, probs, names, count_name) -> DataFrame:
     for i, name in enumerate(names):
         lo, hi, pos = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
         frac = pos - F.floor(pos)
-        cols.append(F.when(frac == 0, lo).otherwise(lo + frac * (hi - lo)).alias(name))
+        cols.append(F.when((frac == 0) | (lo == hi), lo).otherwise(lo + frac * (hi - lo)).alias(name))
     if count_name:
         cols.append(F.col("_n").alias(count_name))
-    return per_group.select(*group, *cols)
+    return per_group.select(*group, *cols, *extra)
 
 
 def percentiles_small_domain(df: DataFrame, group: Sequence[str], value: str | Column,
                              probs: Sequence[float], names: Sequence[str],
-                             count_name: str | None = None) -> DataFrame:
+                             count_name: str | None = None,
+                             count_if: dict[str, Column] | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT`` for a value with a small, bounded domain
     (e.g. day counts already restricted to 1..365): rows are counted per
     distinct value (partial aggregation), and the cumulative walk per group
     sees at most one row per domain value. Same semantics as
-    ``percentiles``; no materialisation step."""
+    ``percentiles``; no materialisation step. ``count_if``: further counts per
+    group, of the rows whose value ``_v`` meets a condition."""
     group = list(group)
     v = F.col(value) if isinstance(value, str) else value
     counts = (df.select(*group, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
               .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")))
     wcum = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    counts = (counts.withColumn("_cum", F.sum("_c").over(wcum))
-              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*group))))
-    picked = (counts.select(*group, "_v", "_c", "_cum", "_n",
+    whole = Window.partitionBy(*group)
+    extra = {n: F.sum(F.when(c, F.col("_c")).otherwise(0)).over(whole) for n, c in (count_if or {}).items()}
+    counts = counts.withColumns({"_cum": F.sum("_c").over(wcum), "_n": F.sum("_c").over(whole), **extra})
+    picked = (counts.select(*group, "_v", "_c", "_cum", "_n", *extra,
                             F.explode(F.array(*_targets(probs))).alias("_t"))
-              .select(*group, "_v", "_n", "_c", "_cum", "_t.*")
+              .select(*group, "_v", "_n", "_c", "_cum", *extra, "_t.*")
               .where((F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))))
-    return _assemble(picked, group, probs, names, count_name)
+    return _assemble(picked, group, probs, names, count_name, list(extra))
 
 
 # --------------------------------------------------------------------------

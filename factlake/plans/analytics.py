@@ -25,6 +25,7 @@ from factlake.operators.stats import hhi, percentiles, percentiles_small_domain,
 from factlake.schema import (ANNUAL_FORMS, BLANK_CHECK_SIC, CONCEPTS, EXPENSE_TAGS,
                              FORM_10K, FORM_10KA, MEGACAP_CIKS, MEGACAP_CIKS_WITH_BRK,
                              SECTOR_SICS)
+from factlake.session import ensure_checkpoint_dir
 
 REVENUE_TAGS = CONCEPTS["revenue"]
 
@@ -71,14 +72,12 @@ def filing_lag(t, form: str = FORM_10K, min_days: int = 1, max_days: int = 365,
             .select("afs", fiscal_year("period").alias("period_year"),
                     days_between("filed", "period").alias("lag_days"))
             .where(F.col("lag_days").between(min_days, max_days)))
-    counts = base.groupBy("afs", "period_year").agg(
-        F.count(F.lit(1)).alias("filings"),
-        F.count_if(F.col("lag_days") > late_after).alias("late_filings"))
     # lag_days is restricted to [min_days, max_days]: a small bounded domain
     pct = percentiles_small_domain(base, ["afs", "period_year"], "lag_days",
                                    [0.25, 0.5, 0.75, 0.95],
-                                   ["p25_days", "median_days", "p75_days", "p95_days"])
-    return (counts.join(pct, ["afs", "period_year"])
+                                   ["p25_days", "median_days", "p75_days", "p95_days"], count_name="filings",
+                                   count_if={"late_filings": F.col("_v") > late_after})
+    return (pct
             .select("afs", "period_year", "filings", "p25_days", "median_days", "p75_days",
                     "p95_days", "late_filings")
             .orderBy("afs", "period_year"))
@@ -154,12 +153,9 @@ def revenue_distribution(t, form: str = FORM_10K, tags: Sequence[str] = REVENUE_
     facts = facts.select(fiscal_year("ddate").alias("fiscal_year"),
                          F.col("version").alias("taxonomy_version"), "value")
     keys = ["fiscal_year", "taxonomy_version"] if by_version else ["fiscal_year"]
-    agg = facts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("filings_reporting"),
-        to_decimal(F.avg("value"), 28, 2).alias("mean_revenue"),
-        to_decimal(F.sum("value"), 28, 0).alias("total_revenue"))
-    med = percentiles(facts, keys, "value", [0.5], ["median_revenue"])
-    out = agg.join(med, keys)
+    out = percentiles(facts, keys, "value", [0.5], ["median_revenue"], count_name="filings_reporting", sum_name="_total")
+    out = out.withColumns({"mean_revenue": to_decimal(F.col("_total") / F.col("filings_reporting"), 28, 2),
+                           "total_revenue": to_decimal("_total", 28, 0)})
     if not by_version:
         out = out.withColumn("taxonomy_version", F.lit(None).cast("string"))
         keys = ["fiscal_year", "taxonomy_version"]
@@ -265,12 +261,13 @@ def top5_share_shift(t, k: int = 5, y0: int = 2021, y1: int = 2024,
                      min_total: float = 1e10, min_firms: int = 10, limit: int = 25) -> DataFrame:
     """Change of the top-``k`` revenue share per sector between two years.
 
-    One pass over both years and a conditional aggregation per sector
-    instead of a self-join of the per-year table (which would recompute the
-    dedup once per side).
+    The facts are read once: the revenues of both years, a row per company
+    and year, are cut by a checkpoint, from which totals and top values are
+    taken; years are set side by side by conditional aggregation.
     """
+    ensure_checkpoint_dir(t.sub.sparkSession)
     rev = (annual_revenue(t, sub_cols=("sic",), require_sic=True)
-           .where(F.col("fy").isin(y0, y1)))
+           .where(F.col("fy").isin(y0, y1)).select("sic", "fy", "revenue").checkpoint())
     s = (topn_share(rev, ["sic", "fy"], "revenue", k)
          .where((F.col("total") > F.lit(min_total)) & (F.col("members") >= min_firms)))
 

@@ -219,8 +219,7 @@ def test_revenue_distribution_options(spark):
         r["filings_reporting"] for r in by_year)
 
 
-@pytest.mark.parametrize("refine", [0, 10**9])
-def test_percentiles_two_level_refinement_is_exact(spark, refine):
+def test_percentiles_two_level_refinement_is_exact(spark):
     rng = random.Random(7)
     vals = {g: [rng.choice([1.0, 1.0 + 1e-6, -2.5]) * rng.uniform(1000, 1000.01) for _ in range(700)]
             for g in ("x", "y")}
@@ -229,8 +228,7 @@ def test_percentiles_two_level_refinement_is_exact(spark, refine):
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
     names = ["a", "b", "c", "d", "e"]
-    got = {r["g"]: r for r in percentiles(df, ["g"], "v", probs, names,
-                                          refine_rows=refine).collect()}
+    got = {r["g"]: r for r in percentiles(df, ["g"], "v", probs, names).collect()}
     vals[None] = [3.0, 1.0]
     for g, vs in vals.items():
         for p, nm in zip(probs, names):
@@ -250,3 +248,25 @@ def test_percentiles_small_domain_matches_general(spark):
         assert got[g]["n"] == len(vals)
         for p, nm in zip(probs, names):
             assert got[g][nm] == pytest.approx(_pct_ref(vals, p), rel=1e-12, abs=1e-12)
+
+
+def test_percentiles_order_infinities_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", v) for v in (5.0, 6.0, nan)] + [("b", v) for v in (-inf, -1.0, 2.0, inf, inf)]
+                               + [("c", nan)], "g string, v double")
+    got = {r["g"]: r for r in percentiles(df, ["g"], "v", [0.0, 0.5, 1.0], ["lo", "mid", "hi"], "n", "s").collect()}
+    assert (got["a"]["lo"], got["a"]["mid"]) == (5.0, 6.0) and got["a"]["hi"] != got["a"]["hi"]
+    assert (got["b"]["lo"], got["b"]["mid"], got["b"]["hi"]) == (-inf, 2.0, inf)
+    assert got["c"]["n"] == 1 and got["c"]["mid"] != got["c"]["mid"]
+
+
+def test_concepts_are_the_stated_tags():
+    """The tag lists by hand, not from the module under test."""
+    from factlake.schema import CONCEPTS, EXPENSE_TAGS, SECTOR_SICS
+
+    assert CONCEPTS["revenue"] == ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax"]
+    assert CONCEPTS["cogs"] == ["CostOfRevenue", "CostOfGoodsAndServicesSold", "CostOfGoodsSold"]
+    assert CONCEPTS["net_income"] == ["NetIncomeLoss", "ProfitLoss"]
+    assert CONCEPTS["capex"] == ["PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets"]
+    assert CONCEPTS["income_tax"] == ["IncomeTaxExpenseBenefit"]
+    assert len(EXPENSE_TAGS) == 11 and SECTOR_SICS == [2834, 7372, 6022, 7370, 1311]

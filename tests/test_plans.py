@@ -20,10 +20,16 @@ def test_dedup_limits_rows_before_the_shuffle(spark):
                      plan), plan
 
 
-def test_percentile_targets_are_broadcast_not_the_values_shuffled(spark):
-    plan = _plan(A.revenue_distribution(fixture_tables(spark, SF)))
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
+def _fact_scans(plan: str) -> int:
+    return len(re.findall(r"FileScan parquet .*lineitem", plan))
+
+
+def test_facts_are_read_once_before_the_percentiles(spark):
+    """The counts per group and value are cut; nothing after reads the facts."""
+    t = fixture_tables(spark, SF)
+    for query in (A.revenue_distribution(t), A.etr_dispersion(t, fy=1999), A.top5_share_shift(t, y0=1998, y1=1999)):
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert _fact_scans(plan) == 0 and "Scan ExistingRDD" in plan
 
 
 def test_fact_counts_are_aggregated_before_the_tag_join(spark):
