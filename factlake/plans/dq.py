@@ -1,8 +1,8 @@
 """Post-load data-quality report: one row per check.
 
 (check, table_name, value, expected, ok) where ``ok`` is NULL when a check
-has no expectation. Each check is one partially aggregated pass; the report
-is their union (a few dozen rows).
+has no expectation. Each table's row count, key duplicates and required NULLs come
+from one partially aggregated pass over it; the report is a union of a few dozen rows.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from factlake.operators.facts import consolidated_annual
 from factlake.operators.joins import missing_concept
-from factlake.operators.quality import (custom_tag_share, key_uniqueness, null_audit,
-                                        orphan_count, reporting_multiplicity)
+from factlake.operators.quality import (custom_tag_share, orphan_count, reporting_multiplicity,
+                                        table_audit)
 from factlake.schema import CONCEPTS, KEYS, REQUIRED
 
 TABLES = ("sub", "tag", "num", "pre")
@@ -37,16 +37,11 @@ def dq_report(tables, expected_counts: Mapping[str, int] | None = None,
     expected_counts = expected_counts or {}
     parts = [_row(orphan_count(t["num"], t["sub"]), "orphan_facts", "num", "orphans", 0)]
     for name in TABLES:
-        ku = key_uniqueness(t[name], KEYS[name], name)
-        parts.append(_row(ku, "duplicate_keys", name, "duplicated_keys", 0))
-        parts.append(_row(ku, "row_count", name, "row_count", expected_counts.get(name)))
-        na = null_audit(t[name], REQUIRED[name], name)
-        parts.append(na.select(F.concat(F.lit("null:"), F.col("column_name")).alias("check"),
-                               "table_name", F.col("nulls").cast("double").alias("value"),
-                               F.lit(0.0).alias("expected")))
-    share = custom_tag_share(t["tag"])
-    parts.append(_row(share, "custom_tag_share", "tag", "custom_share"))
-    parts.append(_row(share, "multi_version_tags", "tag", "multi_version_tags"))
+        parts.append(table_audit(t[name], KEYS[name], REQUIRED[name], name, expected_counts.get(name)))
+    parts.append(custom_tag_share(t["tag"]).selectExpr(
+        "stack(2, 'custom_tag_share', custom_share, 'multi_version_tags', cast(multi_version_tags as double))"
+        " as (check, value)").select("check", F.lit("tag").alias("table_name"), "value",
+                                     F.lit(None).cast("double").alias("expected")))
     facts = t["num"].select("adsh", "tag", F.year("ddate").alias("fy")).join(
         t["sub"].select("adsh", "cik"), "adsh")
     parts.append(_row(reporting_multiplicity(facts), "avg_reports_per_value", "num",

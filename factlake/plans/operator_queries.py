@@ -572,7 +572,7 @@ def reporting_multiplicity_q(t):
     return r.select(F.round("avg_reports", 6).alias("avg_reports"), "max_reports", "series_points")
 
 
-def _dq_sql() -> str:
+def _dq_sql(**expected: str) -> str:
     from factlake.schema import REQUIRED
     parts = ["""SELECT 'orphan_facts' AS "check", 'num' AS table_name,
        CAST(COUNT(*) AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS expected
@@ -581,7 +581,7 @@ FROM num n WHERE NOT EXISTS (SELECT 1 FROM sub s WHERE s.adsh = n.adsh)"""]
         k = ", ".join(KEYS[tb])
         parts.append(f"""SELECT 'duplicate_keys', '{tb}', CAST(COUNT(*) FILTER (WHERE n > 1) AS DOUBLE), 0.0
 FROM (SELECT {k}, COUNT(*) AS n FROM {tb} GROUP BY {k}) g""")
-        parts.append(f"SELECT 'row_count', '{tb}', CAST(COUNT(*) AS DOUBLE), NULL FROM {tb}")
+        parts.append(f"SELECT 'row_count', '{tb}', CAST(COUNT(*) AS DOUBLE), {expected.get(tb, 'NULL')} FROM {tb}")
         for c in REQUIRED[tb]:
             parts.append(f"SELECT 'null:{c}', '{tb}', CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE), 0.0 FROM {tb}")
     parts.append("""SELECT 'custom_tag_share', 'tag', CAST(SUM(custom) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE), NULL FROM tag""")
@@ -607,6 +607,15 @@ def dq_report_q(t):
     return dq_report(t)
 
 
+@_register("dq_expected_counts", _dq_sql(num="(SELECT CAST(COUNT(*) AS DOUBLE) * 1.004 FROM pre)",
+                                         sub="(SELECT CAST(COUNT(*) AS DOUBLE) FROM num)"))
+def dq_expected_counts(t):
+    """Q4: the report against expected row counts, one within the tolerance of
+    half a percent and one beyond it."""
+    from factlake.plans.dq import dq_report
+    return dq_report(t, {"num": t.pre.count() * 1.004, "sub": t.num.count()})
+
+
 # Columns compared after a load: those that the SQL fixture has.
 _LOADED = {
     "sub": ["adsh", "cik", "name", "sic", "afs", "form", "period", "filed"],
