@@ -58,6 +58,8 @@ WORD_Z, WORD_LIFT, PART_LIFT = 10.0, 4.0, 20.0
 #: Words taken into the training of the toxic dictionary, those of the highest contrast.
 WORDS = 2000
 CUT = 0.3
+#: Contexts that a worker holds at a time.
+CONTEXTS = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -134,18 +136,25 @@ def _contexts(rows: DataFrame) -> DataFrame:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple] = set()
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = words_of(text)
-                seen.update(zip(own, [b"", *own], [*own[1:], b""], [y] * len(own)))  # the second list is one longer
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w[:64] for w, *_ in seen], pa.binary()), pa.array([a + b" " + b for _, a, b, _ in seen], pa.binary()),
-                 pa.array([y for *_, y in seen], pa.int32())], ["word", "around", "y"])
+            for text, y in zip(batch.column(0), batch.column(1), strict=True):
+                own = words_of(text.as_py())
+                seen.update(zip(own, [b"", *own], [*own[1:], b""], [y.as_py()] * len(own)))  # the second list is one longer
+                if len(seen) > CONTEXTS:
+                    yield _context_batch(seen)
+                    seen = set()
+            yield _context_batch(seen)
 
     each = rows.mapInArrow(words, "word binary, around binary, y int").select("word", "y", F.xxhash64("around").alias("c")).distinct()
     return each.groupBy("word").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("t"),
                                     F.sum(F.when(F.col("y") > 0, 0).otherwise(1)).alias("o"))
 
 
+def _context_batch(seen: set[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([w[:64] for w, *_ in seen], pa.binary()), pa.array([a + b" " + b for _, a, b, _ in seen], pa.binary()),
+         pa.array([y for *_, y in seen], pa.int32())], ["word", "around", "y"])
+
+
 def _contrast(t: float, o: float, all_t: float, all_o: float, weight: float | None = None) -> tuple[float, float]:
     """(z, lift) of a string found t times in toxic and o times in ordinary text."""
     lift = (t + 0.5) / (all_t + 1) / ((o + 0.5) / (all_o + 1))
