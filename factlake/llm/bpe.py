@@ -12,8 +12,13 @@ lower rank takes the token to its right, which frees the token to its left
 for a rule of higher rank, and so on, along a chain of rules with rising rank
 in which each rule's right part is the left part of the one before.
 
-Decoding maps ids to pieces in blocks and feeds their bytes to an incremental
-UTF-8 state machine, so that a block may end inside a character.
+Every pre-token is encoded by this transducer; the ids of words and pre-tokens
+below ``LONG`` bytes are kept in a bounded memo. A text is read in slices that
+end at white space, and the runs of ids go on as they come. Beyond the text
+itself, memory grows only with its longest word, which is normalised whole.
+
+Decoding takes runs of ids, maps them to pieces in blocks and feeds their bytes
+to an incremental UTF-8 state machine, so that a block may end inside a character.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty
 string; strings of special tokens are recognised as the tokenizers library
@@ -28,7 +33,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import prepare
+from .common import WORD_GAP, prepare
 
 #: Entries of a worker's memo of words; it starts anew when full.
 MEMO = 400_000
-#: Words or ids handled at a time.
+#: Bytes from which on a word or pre-token is never in the memo.
+LONG = 256
+#: Characters or ids handled at a time.
 BLOCK = 1 << 16
 #: Added to a byte that ends a word, to make its symbol.
 FINAL = 0x200
@@ -50,6 +57,7 @@ FINAL = 0x200
 LATIN_END = "\u0250"
 
 _SPACE = regex.compile(r"\p{White_Space}+")
+_GAP = re.compile(WORD_GAP)
 
 
 def byte_alphabet() -> list[str]:
@@ -90,14 +98,11 @@ class Merges:
             sign[t] = sign[a] + sign[b]
         self.spelled = {s: t for t, s in sign.items()}
         self.longest = max(map(len, self.spelled))
-        self.ends: dict[str, int] = {}  # the longest token that ends in each symbol
-        self.begun: dict[str, int] = {}  # every beginning of a token; the token where it is one, else -1
-        for s, t in self.spelled.items():
-            self.ends[s[-1]] = max(self.ends.get(s[-1], 0), len(s))
-            self.begun[s] = t
+        self.ended: dict[str, int] = {}  # every ending of a token; the token where it is one, else -1
+        for s in self.spelled:
             for k in range(1, len(s)):
-                self.begun.setdefault(s[:k], -1)
-        self.begun |= self.spelled
+                self.ended[s[k:]] = -1
+        self.ended |= self.spelled
         self._stable: dict[int, bool] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
@@ -149,27 +154,32 @@ class Merges:
     def stream(self, word: bytes) -> Iterator[list[int]]:
         """The tokens of one pre-token, in runs that are emitted as they
         become stable; memory does not grow with the pre-token."""
-        spelled, ends, stable = self.spelled, self.ends, self.stable
+        ended, known, stable = self.ended, self._stable.get, self.stable
         n, window = len(word), max(2 * self.sufficient_lookahead, 4096)
         signs, last, base = "", [0], 0  # last[i]: last token of the prefix that ends at base + i
         before = -1                     # the token emitted last
         size: list[int] = [0]
         shift = FINAL * bool(self.suffix)
         for at in range(n):
-            s = chr(word[at] + shift * (at == n - 1))
-            signs += s
+            signs += chr(word[at] + shift * (at == n - 1))
             i = len(signs)
-            for k in range(1, min(ends[s], i) + 1):
-                t = spelled.get(signs[i - k: i])
-                if t is not None:
-                    p = last[i - k] if i > k else before
-                    if p is not None and (p == -1 or stable(p, t)):
-                        last.append(t)
-                        size.append(k)
+            for j in range(i - 1, -1, -1):
+                t = ended.get(signs[j:])
+                if t is None:  # no token ends in this, nor in anything longer
+                    j = -1
+                    break
+                if t >= 0:
+                    p = last[j] if j else before
+                    if p == -1:
                         break
+                    if p is not None:
+                        ok = known(p << 32 | t)
+                        if ok or ok is None and stable(p, t):
+                            break
             else:
-                last.append(None)  # no encoding ends here (cannot happen while all bytes are tokens)
-                size.append(0)
+                j = -1
+            last.append(t if j >= 0 else None)  # None: no encoding ends here (cannot happen while all bytes are tokens)
+            size.append(i - j if j >= 0 else 0)
             if i >= window:
                 paths = {j for j in range(i - self.longest + 1, i + 1) if j >= 0 and last[j] is not None}
                 while len(paths) > 1:
@@ -193,47 +203,9 @@ class Merges:
         run.reverse()
         yield run
 
-
     def tokens(self, word: bytes) -> list[int]:
-        """The tokens of one pre-token. One that fits into the lookahead is
-        read depth first: the longest token that is stable beside the one
-        before, and shorter ones where the reading comes to a dead end. As an
-        encoding is the only stable sequence, a position where it ended is
-        never tried again."""
-        n = len(word)
-        if n > self.sufficient_lookahead:
-            return [t for run in self.stream(word) for t in run]
-        signs = word[:-1].decode("latin-1") + chr(word[-1] + FINAL * bool(self.suffix))
-        begun, known, stable = self.begun, self._stable.get, self.stable
-        path, ways, ended, at = [], [], set(), 0
-        while True:
-            options, k = [], at + 1
-            while k <= n and (t := begun.get(signs[at:k])) is not None:
-                if t >= 0:
-                    options.append((k, t))
-                k += 1
-            while True:
-                while options:
-                    k, t = options.pop()
-                    if k not in ended:
-                        if not path:
-                            break
-                        ok = known(path[-1] << 32 | t)
-                        if ok or ok is None and stable(path[-1], t):
-                            break
-                else:
-                    if not path:
-                        raise ValueError("a byte that is no token")
-                    ended.add(at)
-                    at, options = ways.pop()
-                    path.pop()
-                    continue
-                break
-            path.append(t)
-            if k == n:
-                return path
-            ways.append((at, options))
-            at = k
+        """The tokens of one pre-token."""
+        return [t for run in self.stream(word) for t in run]
 
 
 class Memo(dict):
@@ -244,7 +216,7 @@ class Memo(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.work(word)
-        if len(word) < 256:
+        if len(word) < LONG:
             if len(self) >= MEMO:
                 self.clear()
             self[word] = got
@@ -273,19 +245,32 @@ class Parting:
         self.tokenizer.no_padding()
         self.back = {c: b for b, c in enumerate(byte_alphabet())}
 
-    def spans(self, text: str) -> list[str]:
+    def spans(self, text: str) -> Iterator[str]:
         """Ordinary text and special tokens in turn."""
-        return self.special_at.split(text) if self.special_at and "<" in text else [text]
+        at = 0
+        if self.special_at and "<" in text:
+            for found in self.special_at.finditer(text):
+                yield text[at: found.start()]
+                yield found[0]
+                at = found.end()
+        yield text[at:]
 
     def parted(self, text: str) -> list[bytes]:
         """The pre-tokens of a word without special tokens."""
-        if text.isascii():
-            return [x.encode() for x in self.pattern.findall(text.lower())]
-        if max(text) < LATIN_END:
-            shown = _SPACE.sub(" ", unicodedata.normalize("NFC", text)).lower()
-            return [x.encode() for x in self.pattern.findall(shown)]
+        return list(self.each(text))
+
+    def each(self, text: str) -> Iterator[bytes]:
+        if text.isascii() or max(text) < LATIN_END:
+            shown = text.lower() if text.isascii() else _SPACE.sub(" ", unicodedata.normalize("NFC", text)).lower()
+            if len(shown) < LONG:
+                yield from map(str.encode, self.pattern.findall(shown))
+            else:
+                for found in self.pattern.finditer(shown):
+                    yield found[0].encode()
+            return
         normal, part = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        return [bytes(map(self.back.__getitem__, x)) for x, _ in part(normal(text))]
+        for x, _ in part(normal(text)):
+            yield bytes(map(self.back.__getitem__, x))
 
 
 class Encoder:
@@ -300,24 +285,43 @@ class Encoder:
         return np.array(self.merges.tokens(raw), "<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        out, pieces, parting = [], self.pieces, self.parting
+        return b"".join(self.runs(word))
+
+    def runs(self, word: bytes) -> Iterator[bytes]:
+        """The ids of a word, those of a long pre-token as they become stable."""
+        pieces, parting = self.pieces, self.parting
         for i, span in enumerate(parting.spans(word.decode("utf-8", "replace"))):
             if i % 2:
-                out.append(np.array([parting.special[span]], "<u4").tobytes())
-            else:
-                out.extend(map(pieces.__getitem__, parting.parted(span)))
-        return b"".join(out)
-
-    def words(self, words: list[bytes]) -> bytes:
-        """The ids of words as little-endian 32-bit integers. White space
-        never joins or parts tokens, so each word is encoded by itself."""
-        return b"".join(map(self.memo.__getitem__, words))
+                yield np.array([parting.special[span]], "<u4").tobytes()
+                continue
+            for raw in parting.each(span):
+                if len(raw) < LONG:
+                    yield pieces[raw]
+                else:
+                    for run in self.merges.stream(raw):
+                        yield np.array(run, "<u4").tobytes()
 
     def blocks(self, text: str | None) -> Iterator[bytes]:
-        """The ids of a whole text, a block of words at a time."""
-        words = (text or "").encode("utf-8", "replace").split()
-        for at in range(0, len(words), BLOCK):
-            yield self.words(words[at: at + BLOCK])
+        """The ids of a whole text as little-endian 32-bit integers, in runs.
+        White space never joins or parts tokens, so each word is encoded by
+        itself."""
+        text, at, memo = text or "", 0, self.memo
+        while at < len(text):
+            gap = _GAP.search(text, at + BLOCK)
+            end = gap.end() if gap else len(text)
+            words = text[at:end].encode("utf-8", "replace").split()
+            at = end
+            if max(map(len, words), default=0) < LONG:
+                yield b"".join(map(memo.__getitem__, words))
+                continue
+            run = bytearray()
+            for word in words:
+                for raw in self.runs(word) if len(word) >= LONG else (memo[word],):
+                    run += raw
+                    if len(run) >= BLOCK:
+                        yield bytes(run)
+                        run.clear()
+            yield bytes(run)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.blocks(text)), "<u4")
@@ -349,16 +353,36 @@ class Decoder:
         self.joiner = b"" if plain else b" "
         self.table = [piece(ids[i]) if i in ids else None for i in range(max(ids) + 1)]
 
-    def blocks(self, ids: np.ndarray) -> Iterator[str]:
+    def stream(self, runs: Iterable[np.ndarray]) -> Iterator[str]:
+        """The text of ids that come in runs."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        table, joiner = self.table, self.joiner
-        for at in range(0, len(ids), BLOCK):
-            raw = joiner.join(map(table.__getitem__, ids[at: at + BLOCK].tolist()))
-            yield machine.decode((joiner if at else b"") + raw)
+        table, joiner, between = self.table, self.joiner, b""
+        for ids in runs:
+            for at in range(0, len(ids), BLOCK):
+                raw = joiner.join(map(table.__getitem__, ids[at: at + BLOCK].tolist()))
+                yield machine.decode(between + raw)
+                between = joiner
         yield machine.decode(b"", True)
 
     def decode(self, ids: np.ndarray) -> str:
-        return "".join(self.blocks(ids))
+        return "".join(self.stream([ids]))
+
+
+def digests(text: str | None, enc: Encoder, dec: Decoder) -> tuple[int, str, str]:
+    """(n_tokens, digest of the ids, digest of the text they decode to); each
+    run of ids is counted, hashed and decoded as it comes."""
+    n, ids, shown = 0, hashlib.sha256(), hashlib.sha256()
+
+    def runs() -> Iterator[np.ndarray]:
+        nonlocal n
+        for raw in enc.blocks(text):
+            n += len(raw) // 4
+            ids.update(raw)
+            yield np.frombuffer(raw, "<u4")
+
+    for part in dec.stream(runs()):
+        shown.update(part.encode())
+    return n, ids.hexdigest(), shown.hexdigest()
 
 
 @functools.cache
@@ -404,17 +428,10 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     prepare(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc, dec = encoder(tokenizer), decoder(tokenizer)
         for texts in batches:
-            rows = []
-            for t in texts:
-                raw = b"".join(enc.blocks(t))
-                shown = hashlib.sha256()
-                for part in dec.blocks(np.frombuffer(raw, "<u4")):
-                    shown.update(part.encode())
-                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), shown.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    out = docs.select(F.col(id_col).alias("_id"), digests(F.col(text_col)).alias("_d"))
+            yield pd.DataFrame([digests(t, enc, dec) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = docs.select(F.col(id_col).alias("_id"), told(F.col(text_col)).alias("_d"))
     return out.select(F.col("_id").alias(id_col), "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")

@@ -54,3 +54,29 @@ def test_round_trip_of_odd_rows(spark, odd_docs, no_docs, library):
     assert got == want and bpe.round_trip(no_docs, PATH).count() == 0
     both = bpe.decode_ids(bpe.encode_texts(odd_docs, PATH), PATH)
     assert both.columns == [*odd_docs.columns, "ids", "decoded"] and both.count() == odd_docs.count()
+
+
+def test_every_pre_token_goes_through_the_transducer(monkeypatch):
+    enc, seen = bpe.Encoder(PATH), []
+    stream = bpe.Merges.stream
+    monkeypatch.setattr(bpe.Merges, "stream", lambda self, word: seen.append(word) or stream(self, word))
+    text = "Plain words, don't repeat words. " + "long" * 2000
+    want = [x for w in text.split() for x in enc.parting.parted(w)]
+    enc.encode(text)
+    assert set(seen) == set(want) and len(seen) == len(set(want))
+
+
+def test_memory_does_not_grow_with_the_text(library):
+    import hashlib
+    import tracemalloc
+
+    enc, dec = bpe.Encoder(PATH), bpe.decoder(PATH)
+    for text in ("some plain words in it " * 100_000, "thingsandthe" * 30_000):
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+        tracemalloc.start()
+        got = bpe.digests(text, enc, dec)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        shown = library.decode(want, skip_special_tokens=False)
+        assert got == (len(want), hashlib.sha256(want.tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
+        assert max(map(len, enc.blocks(text))) <= 8 * bpe.BLOCK and peak < 8 << 20
