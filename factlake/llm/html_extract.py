@@ -73,7 +73,7 @@ class Tree(HTMLParser):
         names, mark = [], None
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                names += _NAME.findall(v.lower()[:200])
+                names += _NAME.findall(v.lower())
             elif k == "data-content" and self.with_marks:
                 mark = int(v == "1")
         parent = self.open[-1]
@@ -166,7 +166,7 @@ def _evidence(tree: Tree) -> list[list[str]]:
         share = "none" if not total[i] else "no" if linked[i] < 0.2 * total[i] else "some" if linked[i] < 0.7 * total[i] else "all"
         own = tree.own[i]
         size = 0 if own == 0 else 1 if own < 25 else 2 if own < 100 else 3
-        out.append([f"tag={tag}", f"links={share}", f"size={size}", *[f"name={x}" for x in tree.names[i][:12]]])
+        out.append([f"tag={tag}", f"links={share}", f"size={size}", *[f"name={x}" for x in tree.names[i]]])
     return out
 
 

@@ -50,3 +50,14 @@ def test_odd_rows(spark):
     assert got.count() == 7 and by[1, "clash"] == by[2, None] == by[3, "x"] == ""
     assert by[None, "x"] == "Plain words, and more of them." and len(by[4, "x"]) == 12 * 50_000 - 1
     assert h.main_text(got.drop("text").limit(0)).count() == 0
+
+
+def test_names_after_many_others():
+    words = "flex px-4 py-2 mt-8 text-sm bg-gray-100 " + " ".join(f"utility-{'x' * i}" for i in range(60))
+    tree = h.parsed(f'<div class="{words} sidebar" id="comments" role="banner"><p>Words.</p></div>')
+    assert {"name=sidebar", "name=comments", "name=banner"} <= set(h._evidence(tree)[1])
+    story = "<article><h1>Head</h1><p>" + "The words of a long story, with commas. " * 3 + "</p></article>"
+    for name in ("sidebar", "advert", "comments"):
+        page = '<body>{}<div class="{}{}"><p>Words of a longer sentence in a box, with commas, and an end.</p></div>'
+        few, many = (h.extract(page.format(story, before, name), h.default_model()) for before in ("", "flex px-4 py-2 mt-8 sm bg-gray-100 rounded shadow "))
+        assert few == many and "box" not in many
