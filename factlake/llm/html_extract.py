@@ -15,7 +15,8 @@ parent's). ``LABELLED`` holds a small set of such pages, of common layouts;
 
 A page is parsed as browsers do it where it matters here: void elements,
 implied ends of paragraphs, list items, rows and cells, end tags without a
-start, elements that are never closed. Scripts, styles, templates, comments
+start, elements that are never closed; an open head ends where something that
+does not belong into it begins. Scripts, styles, templates, comments
 and the document's head are markup, not text. Character references are
 decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by a line feed.
@@ -51,6 +52,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "option": ({"option"}, {"select"})}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Elements that may stand in the head; any other, and text, ends it.
+HEAD = frozenset("base link meta noframes noscript script style template title".split())
 SCOPE = frozenset("html body table td th caption button object".split())
 
 _NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -107,9 +110,15 @@ class Tree(HTMLParser):
             if tag in barriers:
                 return
 
+    def _end_head(self) -> None:
+        if self.tags[self.open[-1]] == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "body") and tag in (self.tags[i] for i in self.open):
+        if tag in ("html", "head", "body") and tag in (self.tags[i] for i in self.open):
             return
+        if tag not in HEAD:
+            self._end_head()
         if tag == "body":
             self._end({"head"}, set())
         if tag in ENDS:
@@ -132,6 +141,8 @@ class Tree(HTMLParser):
             self._end({tag}, () if tag in SCOPE else SCOPE - {"button"} if tag not in ("body", "html") else ())
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if self.silent:
             return
         at = self.open[-1]

@@ -61,3 +61,15 @@ def test_names_after_many_others():
         page = '<body>{}<div class="{}{}"><p>Words of a longer sentence in a box, with commas, and an end.</p></div>'
         few, many = (h.extract(page.format(story, before, name), h.default_model()) for before in ("", "flex px-4 py-2 mt-8 sm bg-gray-100 rounded shadow "))
         assert few == many and "box" not in many
+
+
+def test_head_that_is_never_closed():
+    meta = '<meta charset=utf-8><title>T</title><link rel=x><style>p{}</style><script>var t;</script><noscript><img src=x></noscript>'
+    want = ["The whole article.", "More of it."]
+    for page in ("<html><head><title>T</title><p>The whole article.<p>More of it.", f"<head>{meta} <p>The whole article.</p><p>More of it.",
+                 f"<head>{meta}<div><p>The whole article.<p>More of it.</div>", f"<head>{meta}The whole article.<p>More of it.",
+                 f"<head>{meta}</head><p>The whole article.<p>More of it.", f"<head>{meta}<body><p>The whole article.<p>More of it.",
+                 f"<head><head>{meta}<article><p>The whole article.<head><p>More of it."):
+        assert [" ".join("".join(x).split()) for _, x in h.parsed(page).blocks] == want, page
+    assert h.extract("<html><head><title>T</title><p>The whole article.", h.default_model()) == "The whole article."
+    assert h.extract(f"<html><head>{meta}", h.default_model()) == ""
