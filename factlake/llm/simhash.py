@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, heavy_join, prepare, written
+from .decontaminate import _key
 
 SHINGLE = 3
 RADIUS = 2
@@ -141,11 +142,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The input's rows whose doc_id names their component: one document of
     each group. Rows without a doc_id stay; of rows that repeat the naming
-    doc_id all stay."""
+    doc_id all stay that are in its component. A row goes by its doc_id and
+    text, so a doc_id that two texts have may go in one component and stay in
+    another."""
     prepare(docs.sparkSession)
-    fp, comp = fresh(docs, "fp"), fresh(docs, "component_id")
-    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "fp", shingle)
-                     .select("_id", "fp"), "fingerprints")
+    gone_id, r1, r2 = fresh(docs, "gone_id"), fresh(docs, "r1"), fresh(docs, "r2")
+    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *_key(id_col, text_col)),
+                                      "_text", "fp", shingle).select("_id", "_r1", "_r2", "fp"), "fingerprints")
     named = component_ids(prints, "_id", radius)
-    gone = heavy_join(prints, named, ["fp"], "n", F.col("_id")).where("_id <> component_id").select(F.col("_id").alias(comp)).distinct()
-    return docs.join(gone, docs[id_col] == gone[comp], "left_anti")
+    gone = heavy_join(prints, named, ["fp"], "n", F.col("_id")).where("_id <> component_id").select(
+        F.col("_id").alias(gone_id), F.col("_r1").alias(r1), F.col("_r2").alias(r2)).distinct()
+    k1, k2 = _key(id_col, text_col)
+    return docs.join(gone, (docs[id_col] == F.col(gone_id)) & (k1 == F.col(r1)) & (k2 == F.col(r2)), "left_anti")

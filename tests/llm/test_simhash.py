@@ -77,3 +77,11 @@ def test_one_large_group_of_copies(spark):
         F.concat(F.lit("other words here "), F.sha1(F.col("id").cast("string")))).alias("text"))
     got = simhash.near_duplicates(docs)
     assert got.where("doc_id % 3 > 0").select("component_id").distinct().collect()[0][0] == 1
+
+
+def test_one_doc_id_in_two_components(spark):
+    first, second = "the quick brown fox jumps over the lazy dog", "entirely other words that stand in another component"
+    rows = [(3, first, "x", 1), (7, first, "y", 2), (7, second, "x", 3), (9, second, "y", 4), (None, second, "x", 5), (7, second, "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, gone_id int")
+    kept = simhash.keep_one(docs)
+    assert sorted(r.gone_id for r in kept.collect()) == [1, 3, 5, 6] and kept.columns == docs.columns
