@@ -19,7 +19,7 @@ none of them covers. The dictionary holds the words and, nearest to the window,
 the beginnings, parted by a byte that no text of words has.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents (those with the smallest
-hash of their doc_id) and ``ORDINARY_WINDOWS`` of their windows for the ordinary
+hash of their doc_id; rows that repeat a doc_id and text are one document) and ``ORDINARY_WINDOWS`` of their windows for the ordinary
 dictionary; scoring reads every whole text.
 
 Defined cases: a null or empty text has no windows and is scored like any text
@@ -122,12 +122,17 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, y) of the labelled documents to learn from, none held out."""
+    """(text, y) of the labelled documents to learn from, at most ``TRAIN_ROWS``, none held out."""
     known = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).where("_id is not null and _y is not null")
              .where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
              .orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     mine = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    return mine.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", F.col("_y").cast("int").alias("y"))
+    rows = mine.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select(
+        "_id", "text", F.col("_y").cast("int").alias("y"), F.xxhash64("_id", "text").alias("_r1"), F.xxhash64(F.lit(7), "text", "_id").alias("_r2"))
+    # an id may have any number of texts: the documents are bounded, by their keys
+    key = ["_id", "_r1", "_r2"]
+    taken = rows.select(*key).distinct().orderBy(F.xxhash64("_id"), *key).limit(TRAIN_ROWS)
+    return rows.join(F.broadcast(taken), key, "left_semi").dropDuplicates(key).select("text", "y")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -250,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for texts in batches:
             yield pd.Series([model.features(t, pair) for t in texts], dtype=object)
 
-    fitted = rows.select(features("text").alias("x"), "y").collect()  # TRAIN_ROWS rows of a few numbers
+    fitted = rows.select(features("text").alias("x"), "y").collect()  # at most TRAIN_ROWS rows of a few numbers
     model.weights = fit_logistic(np.array([r.x for r in fitted]), np.array([float(r.y > 0) for r in fitted]))
     return model
 

@@ -52,3 +52,17 @@ def test_odd_rows(spark, odd_docs, no_docs, noise):
     assert got.columns == [*odd_docs.columns, "score"] and got.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.with_score(no_docs, model).count() == 0
     assert toxicity.windows("x" * 2000 + " y") and max(map(len, toxicity.windows("x" * 2000))) <= toxicity.WINDOW_BYTES + 2
+
+
+def test_training_documents_are_bounded(spark, noise, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 30)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    once = [(i, f"text of {i}") for i in ids]
+    read = spark.createDataFrame(once, "doc_id long, text string")
+    want = sorted(toxicity.training_rows(read, lab).collect())
+    copies = spark.createDataFrame(once * 5, "doc_id long, text string")
+    assert len(want) == 30 and sorted(toxicity.training_rows(copies, lab).collect()) == want
+    many = spark.createDataFrame([(i, f"text {k} of {i}") for i in ids for k in range(4)] + [(ids[0], None)] * 3, "doc_id long, text string")
+    got = toxicity.training_rows(many, lab).collect()
+    assert len(got) == len(set(got)) == 30
