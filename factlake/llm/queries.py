@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, line_dedup, quality_rules, simhash, suffix_dedup, token_store, toxicity, warc_zip
+from . import bpe, collocations, decontaminate, html_extract, line_dedup, quality_rules, simhash, suffix_dedup, token_store, toxicity, warc_zip
 from .common import table
 
 #: The vocabulary files' place; a parameter of the operators.
@@ -119,6 +119,44 @@ FROM page p LEFT JOIN best b ON p.payload_digest = b.payload_digest AND p.payloa
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.mined(table(spark, sf_dir, "documents"))
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    return (found.withColumn("rank", F.row_number().over(best)).where("rank <= 2000")
+            .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
+
+
+OP12_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest([[w FOR w IN string_split_regex(p, '[ 	]+') IF w <> ''] FOR p IN string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')]) AS w
+  FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+run AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM run GROUP BY lang, phrase, k HAVING count(*) >= 100),
+cand AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cut AS (
+  SELECT lang, phrase, a, k, c, array_to_string(w[1 : c], ' ') AS first, array_to_string(w[c + 1 : k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, u.k, u.c, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * u.a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut u JOIN f x ON x.lang = u.lang AND x.phrase = u.first JOIN f y ON y.lang = u.lang AND y.phrase = u.rest JOIN n ON n.lang = u.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS i FROM scored) WHERE i = 1),
+inner_part AS (
+  SELECT DISTINCT o.lang, array_to_string(o.w[i : i + m - 1], ' ') AS phrase, o.a
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM cand, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k) o),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN inner_part p ON c.lang = p.lang AND c.phrase = p.phrase AND 100 * p.a >= 100 * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM best WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.lang = best.lang AND g.phrase = best.phrase))
+WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -130,10 +168,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_warc_zip": op10_warc_zip,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op10_warc_zip": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
