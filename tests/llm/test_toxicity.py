@@ -51,7 +51,25 @@ def test_odd_rows(spark, odd_docs, no_docs, noise):
     got = toxicity.with_score(odd_docs, model, out_col="score")
     assert got.columns == [*odd_docs.columns, "score"] and got.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.with_score(no_docs, model).count() == 0
-    assert toxicity.windows("x" * 2000 + " y") and max(map(len, toxicity.windows("x" * 2000))) <= toxicity.WINDOW_BYTES + 2
+    assert toxicity.words_of("X" * 300 + " y") == [b"x" * 128, b"x" * 128, b"x" * 44, b"y"]
+
+
+def test_few_labels(spark):
+    docs = spark.createDataFrame([(i, f"some words of {i}") for i in range(12)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i == 0)) for i in range(12)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, lab)
+    held = sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(12))
+    assert model.constant == (0.0 if zlib.crc32(b"0") % 4 == 2 else 1 / (12 - held))
+    assert {r.score for r in toxicity.with_score(docs, model).collect()} == {model.constant}
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    """Precision and recall at the cut, on rows that were not learned from."""
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.with_score(docs, toxicity.train(docs, lab)).where(toxicity.held_out(F.col("doc_id")))
+    rows = out.join(lab.groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id").select("y", "score").collect()
+    hit = sum(r.y for r in rows if r.score >= toxicity.CUT)
+    assert hit >= 0.87 * sum(r.y for r in rows) and hit >= 0.87 * sum(r.score >= toxicity.CUT for r in rows)
 
 
 def test_training_documents_are_bounded(spark, noise, monkeypatch):
@@ -64,5 +82,5 @@ def test_training_documents_are_bounded(spark, noise, monkeypatch):
     copies = spark.createDataFrame(once * 5, "doc_id long, text string")
     assert len(want) == 30 and sorted(toxicity.training_rows(copies, lab).collect()) == want
     many = spark.createDataFrame([(i, f"text {k} of {i}") for i in ids for k in range(4)] + [(ids[0], None)] * 3, "doc_id long, text string")
-    got = toxicity.training_rows(many, lab).collect()
+    got = [(r.text, r.y) for r in toxicity.training_rows(many, lab).collect()]
     assert len(got) == len(set(got)) == 30
