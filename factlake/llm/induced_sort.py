@@ -138,8 +138,11 @@ class Tape:
 def minima(text: np.ndarray, disk: Disk) -> np.ndarray:
     """Positions of the minima in order: the suffix there is smaller than the
     next one, and follows a larger symbol. The last symbol is the sentinel."""
-    found, rises = [], True  # of the position right of the block
+    rises = True  # of the position right of the block
     n = len(text)
+    # filled from the back; of two neighbours one is a minimum at most
+    out = disk.array(n // 2 + 1, np.int64)
+    filled = len(out)
     for hi in range(n, 0, -BLOCK * 16):
         lo = max(0, hi - BLOCK * 16)
         a = text[lo: min(hi + 1, n)].astype(np.int64)
@@ -151,15 +154,11 @@ def minima(text: np.ndarray, disk: Disk) -> np.ndarray:
         at = np.minimum.accumulate(at[::-1])[::-1]
         up = np.where(at < len(d), d[np.minimum(at, len(d) - 1)] > 0, rises)
         before = text[max(lo - 1, 0): hi - 1].astype(np.int64) if lo else np.concatenate(([-1], text[: hi - 1])).astype(np.int64)
-        found.append((np.flatnonzero(up & (before > a[: hi - lo])) + lo)[::-1])
+        found = np.flatnonzero(up & (before > a[: hi - lo])) + lo
+        out[filled - len(found): filled] = found
+        filled -= len(found)
         rises = bool(up[0])
-    total = sum(map(len, found))
-    out = disk.array(total, np.int64)
-    at = total
-    for f in found:
-        out[at - len(f): at] = f[::-1]
-        at -= len(f)
-    return out
+    return out[filled:]
 
 
 class Scan:

@@ -16,6 +16,9 @@ shard is sorted by external induced sorting (``induced_sort``): suffix tuples wi
 their common-prefix values go through disk-backed priority queues, so a shard
 may be far larger than a worker's memory. Neighbours in the order that share
 ``LENGTH`` bytes are repeats. Repeats become spans of their texts again.
+A key that more than ``CROWD`` different segments share is that of a passage with as many
+surroundings, and would be one large shard: its windows are keyed by all their
+bytes (128 bits) instead and counted, which deals them out over all tasks.
 
 Texts are shuffled twice, compressed: to the segments that are sorted, and to the
 spans that are cut. No join is skewed by a segment that a third of the texts
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +47,9 @@ from . import induced_sort
 from .common import heavy_join, prepare, written
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
+#: Different segments of a key beyond which their windows are compared one by one.
+CROWD = 256
 #: Windows handled at a time: bounds the memory of a very long text.
 BLOCK = 1 << 20
 
@@ -155,25 +161,57 @@ def zipped(docs: DataFrame) -> DataFrame:
 
 def _contents(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """(key, lo, hi, whole, content) of the segments in ``wanted``."""
-    lists = wanted.groupBy("rep._r1", "rep._r2").agg(F.collect_list(F.struct("key", "lo", "hi", "whole", "rep.start", "n")).alias("parts"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstd.ZstdDecompressor().decompress
-        for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for raw, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = unpack(raw)
-                for p in parts:
-                    out.append((p["key"], p["lo"], p["hi"], p["whole"], raw[p["start"]: p["start"] + p["n"] + length - 1]))
-                    size += len(out[-1][-1])
-                    if size > 4 << 20:
-                        yield _content_batch(out)
-                        out, size = [], 0
-            yield _content_batch(out)
-
-    return docs.join(lists, ["_r1", "_r2"]).select("_zip", "parts").mapInArrow(
-        slices, "key long, lo long, hi long, whole boolean, content binary")
+        out: list[tuple] = []
+        size = 0
+        for p, content in _slices(batches, length):
+            out.append((p["key"], p["lo"], p["hi"], p["whole"], content))
+            size += len(content)
+            if size > 4 << 20:
+                yield _content_batch(out)
+                out, size = [], 0
+        yield _content_batch(out)
+
+    return _with_texts(wanted, docs).mapInArrow(slices, "key long, lo long, hi long, whole boolean, content binary")
+
+
+def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The compressed texts that hold the segments in ``wanted``, with lists of these."""
+    lists = wanted.groupBy("rep._r1", "rep._r2").agg(F.collect_list(F.struct("key", "lo", "hi", "whole", "rep.start", "n")).alias("parts"))
+    return docs.join(lists, ["_r1", "_r2"]).select("_zip", "parts")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[dict, bytes]]:
+    unpack = zstd.ZstdDecompressor().decompress
+    for batch in batches:
+        for raw, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = unpack(raw)
+            for p in parts:
+                yield p, raw[p["start"]: p["start"] + p["n"] + length - 1]
+
+
+def repeats_by_window(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(key, lo, hi, runs) as ``repeats_in_shards`` has them, for segments of crowded keys: every
+    window is a row, keyed by the hash of all its bytes."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for p, content in _slices(batches, length):
+            for at in range(0, p["n"], BLOCK >> 4):
+                n = min(BLOCK >> 4, p["n"] - at)
+                both = np.frombuffer(b"".join(digest(content[i: i + length]) for i in range(at, at + n)), "<i8").reshape(-1, 2)
+                own = [pa.array(np.full(n, p[c])) for c in ("key", "lo", "hi", "whole")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(at, at + n)), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                                                 ["key", "lo", "hi", "whole", "at", "wlo", "whi"])
+
+    each = written(_with_texts(wanted, docs).mapInArrow(windows, "key long, lo long, hi long, whole boolean, at long, wlo long, whi long")
+                   .dropDuplicates(["key", "lo", "hi", "at"]), "windows")
+    again = each.groupBy("wlo", "whi").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
+    hit = heavy_join(each, again, ["wlo", "whi"], "w", F.xxhash64("lo", "at"), how="left_semi")
+    # a run of one window each; runs that touch become one span
+    runs = F.flatten(F.transform(F.collect_list("at"), lambda x: F.array(x, x)))
+    return hit.where("not whole").groupBy("key", "lo", "hi").agg(runs.alias("runs"))
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,16 +225,17 @@ def repeats_in_shards(contents: DataFrame, length: int, shards: int, budget: int
     shard, as first and last window of each run. One shard to a task."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        cols = [array("q") for _ in range(6)]  # key, lo, hi, whole, place, length of each segment
         shift = bytes(min(b + 2, 255) for b in range(256))  # 0 is the sentinel, 1 parts segments; UTF-8 ends at 0xF4
         at = 0
         with tempfile.SpooledTemporaryFile(max_size=budget) as spool:
             for batch in batches:
                 for key, lo, hi, whole, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    rows.append((key, lo, hi, whole, at, len(content)))
+                    for c, v in zip(cols, (key, lo, hi, whole, at, len(content)), strict=True):
+                        c.append(v)
                     spool.write(content.translate(shift) + b"\1")
                     at += len(content) + 1
-            if not rows:
+            if not at:
                 return
             spool.write(b"\0")
             spool.seek(0)
@@ -208,14 +247,16 @@ def repeats_in_shards(contents: DataFrame, length: int, shards: int, budget: int
                 text = np.memmap(spool._file, np.uint8, "r")
             hit = induced_sort.repeats(text, length, budget)
             out = []
-            for key, lo, hi, whole, begin, n in rows:
+            for key, lo, hi, whole, begin, n in zip(*cols, strict=True):
                 own = hit[begin: begin + n - length + 1]
                 if not whole and own.any():
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
                     edge[1::2] -= 1
                     out.append((key, lo, hi, edge.tolist()))
-            for k in range(0, len(out), 1 << 14):
-                yield _run_batch(out[k: k + (1 << 14)])
+                    if len(out) == 1 << 14:
+                        yield _run_batch(out)
+                        out = []
+            yield _run_batch(out)
 
     return contents.repartition(shards, "key").mapInArrow(sort, "key long, lo long, hi long, runs array<long>")
 
@@ -249,15 +290,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("*", *_row_key("_id", "_text"))
-    parts = segments(slim, length, gram)
+    parts = written(segments(slim, length, gram), "segments")
     keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min("lo").alias("a"), F.max("lo").alias("b"), F.max("twice").alias("t"))
     keys = keys.withColumn("mixed", (F.col("a") != F.col("b")) | (F.col("t") > 0)).where("w > 1 or mixed").select("key", "w", "mixed")
-    met = written(heavy_join(parts.drop("twice"), keys, ["key"], "w", F.xxhash64("_r1", "start"), how="inner"), "segments")
+    met = written(heavy_join(parts.drop("twice"), keys, ["key"], "w", F.xxhash64("_r1", "start"), how="inner"), "met")
     each = written(met.groupBy("key", "lo", "hi").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("_r1", "_r2", "start")).alias("rep"), F.first("n").alias("n"),
         F.max("mixed").alias("mixed")).withColumn("whole", F.col("c") > 1), "contents")
     packed = zipped(slim.select("_id", "_r1", "_r2", "_text"))
-    sorted_runs = repeats_in_shards(_contents(each.where("mixed"), packed.select("_r1", "_r2", "_zip"), length), length, shards, budget)
+    mixed = each.where("mixed")
+    crowds = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > CROWD).withColumn("crowded", F.lit(True))
+    mixed = written(heavy_join(mixed, crowds, ["key"], "d", F.xxhash64("lo", "hi")), "mixed")
+    texts = packed.select("_r1", "_r2", "_zip")
+    sorted_runs = repeats_in_shards(_contents(mixed.where("crowded is null"), texts, length), length, shards, budget)
+    if mixed.where("crowded").limit(1).count():
+        sorted_runs = sorted_runs.union(repeats_by_window(mixed.where("crowded"), texts, length))
     found = sorted_runs.withColumn("c", F.lit(1).cast("long")).union(
         each.where("whole").select("key", "lo", "hi", F.array(F.lit(0).cast("long"), F.col("n") - 1).alias("runs"), "c"))
     # rows that repeat an id and text gave the same content twice
