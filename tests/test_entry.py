@@ -47,3 +47,16 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_a_missing_dependency_leaves_the_library_queries():
+    """One that only the optional subpackage needs; in a process of its own."""
+    import subprocess
+    import sys
+
+    code = ("import sys, warnings; sys.modules['sentencepiece'] = None; sys.modules['tokenizers'] = None\n"
+            "warnings.simplefilter('error'); warnings.filterwarnings('ignore', message='the training-data queries')\n"
+            "import __spark_entry__ as E; print(len(E.queries()), any(q.startswith('op1_') or q == 'pipeline' for q in E.queries()))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[-2]) >= 56 and out[-1] == "False"
