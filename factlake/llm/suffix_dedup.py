@@ -49,7 +49,7 @@ from .common import heavy_join, prepare, written
 LENGTH = 200
 GRAM = 64
 #: Different segments of a key beyond which their windows are compared one by one.
-CROWD = 256
+CROWD = 1024
 #: Windows handled at a time: bounds the memory of a very long text.
 BLOCK = 1 << 20
 

@@ -71,6 +71,8 @@ def test_equals_brute_force(spark, noise, monkeypatch):
     want = brute(_raw(df), 20)
     assert _run(df, **SMALL) == want
     assert _run(df, **SMALL, shards=2, budget=500) == want
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)  # keys of three segments and more are compared by window
+    assert _run(df, **SMALL) == want
     monkeypatch.setattr(suffix_dedup, "BLOCK", 50)
     assert [list(x) for x in zip(*[c.tolist() for b in suffix_dedup.segments_of(b"abc" * 60, 20, 6) for c in b[:2]][0::2])]
 
@@ -90,3 +92,18 @@ def test_blocks_of_a_long_text_hold_every_window(monkeypatch, noise):
 def test_odd_rows(odd_docs, no_docs):
     assert _run(odd_docs) == brute(_raw(odd_docs), 200)
     assert _run(no_docs) == []
+
+
+def test_minima_are_held_within_the_budget():
+    """Positions beyond the budget are in a mapped file, blocks are not kept beside it."""
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(1, 200, 4_000_000).astype(np.uint8)
+    text[-1] = 0
+    disk = induced_sort.Disk(1 << 20)
+    tracemalloc.start()
+    found = induced_sort.minima(text, disk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(found, np.memmap) and len(found) > 1_000_000 and peak < 40 << 20
+    assert (text[found - 1] > text[found]).all() and (np.diff(found) > 1).all()
