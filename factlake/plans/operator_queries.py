@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions import days_between, fiscal_year, parse_yyyymmdd
@@ -738,6 +738,109 @@ def ingest_incremental(t):
     return _loaded_rows(LakeTables(spark, f"{work}/lake"))
 
 
+# Fixed values of the dirty load: what is done to a fact's line, by its value's whole part modulo 40.
+_DIRT = {"bad value": 1, "bad date": 2, "marker": 3, "long": 4, "short": 5, "line break": 6, "bad bytes": 7}
+_NO_PRE, _NO_CIK = "1995q2", "1996q3"
+_AUDITED = ["rows_read", "dropped_null_key", "long_lines", "short_lines", "damaged_lines", "joined_line_breaks",
+            "unclosed_quotes", "bad_dates", "bad_numbers", "rows_in_lake", "not_inserted"]
+
+
+def _dirty_sql() -> str:
+    d = _DIRT
+    short = f"(kind = {d['short']} AND segments = '' AND coreg = '')"
+    row = " || '|' || ".join(
+        f"coalesce(CAST({c} AS VARCHAR), '~')" for c in [
+            *NUM_KEY, f"CASE WHEN kind = {d['bad value']} OR {short} THEN NULL ELSE value END",
+            f"""CASE kind WHEN {d['line break']} THEN 'see "note"' || chr(10) || 'line' || chr(9) || 'three' WHEN {d['bad bytes']} THEN 'bad' || chr(65533) END"""])
+    counts = {"rows_read": "count(*)", "dropped_null_key": f"count(*) FILTER (kind IN ({d['bad date']}, {d['marker']}))",
+              "long_lines": f"count(*) FILTER (kind = {d['long']})", "short_lines": f"count(*) FILTER ({short})",
+              "damaged_lines": f"count(*) FILTER (kind = {d['bad bytes']})", "joined_line_breaks": f"count(*) FILTER (kind = {d['line break']})",
+              "unclosed_quotes": "0", "bad_dates": f"count(*) FILTER (kind = {d['bad date']})", "bad_numbers": f"count(*) FILTER (kind = {d['bad value']})",
+              "rows_in_lake": f"CASE WHEN status = 'loaded' THEN count(*) FILTER (kind NOT IN ({d['bad date']}, {d['marker']})) END",
+              "not_inserted": "CASE WHEN status = 'loaded' THEN 0 END"}
+    text = " || '|' || ".join(f"CASE WHEN quarter = '{_NO_PRE}' THEN '~' ELSE coalesce(CAST({counts[c]} AS VARCHAR), '~') END" for c in _AUDITED)
+    return sql_with("sub", "num", extra=f"""facts AS ({_FIRST_LISTED.format('num')}),
+line AS (
+  SELECT facts.*, sub.quarter, coalesce(CAST(floor(value) AS BIGINT) % 40, 0) AS kind,
+         CASE quarter WHEN '{_NO_PRE}' THEN 'missing files: pre' WHEN '{_NO_CIK}' THEN 'missing required value in sub' ELSE 'loaded' END AS status
+  FROM facts JOIN sub ON facts.adsh = sub.adsh)""") + f"""
+SELECT 'audit' AS what, quarter, status || '|' || {text} AS row_text FROM line GROUP BY quarter, status
+UNION ALL
+SELECT 'num', quarter, {row} FROM line
+WHERE status = 'loaded' AND kind NOT IN ({d['bad date']}, {d['marker']})"""
+
+
+def _dirty_lines(num: DataFrame) -> DataFrame:
+    """(quarter, value): the text lines of facts, damaged by ``_DIRT``; a header first."""
+    kind = F.coalesce(F.floor("value").cast("long") % 40, F.lit(0))
+
+    def when(what: str, bad: Column, good: Column) -> Column:
+        return F.when(kind == _DIRT[what], bad).otherwise(good)
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    head = [text("adsh"), text("tag"), text("version"), when("bad date", F.lit("20241399"), F.date_format("ddate", "yyyyMMdd")),
+            text("qtrs"), when("marker", F.lit("NA"), text("uom"))]
+    broken = F.lit('"see ""note""\nline\tthree"')
+    note = when("line break", broken, when("bad bytes", F.concat(F.lit("bad"), F.unhex(F.lit("FF")).cast("string")), F.lit("")))
+    full = F.concat_ws("\t", *head, text("segments"), text("coreg"), when("bad value", F.lit("abc"), text("value")), note)
+    short = (kind == _DIRT["short"]) & (F.col("segments") == "") & (F.col("coreg") == "")
+    line = F.when(short, F.concat_ws("\t", *head)).otherwise(when("long", F.concat(full, F.lit("\tone too many")), full))
+    lines = num.select("quarter", F.lit(1).alias("o"), line.alias("value"))
+    header = num.select("quarter").distinct().select("quarter", F.lit(0).alias("o"), F.lit("\t".join(NUM_COLUMNS)).alias("value"))
+    return header.union(lines).repartition("quarter").sortWithinPartitions("quarter", "o", "value").select("quarter", "value")
+
+
+@_register("ingest_dirty", _dirty_sql())
+def ingest_dirty(t):
+    """A load of damaged text. Facts have values and dates that
+    are none, NULL markers in keys, lines with too many and too few fields, line breaks in quoted fields, bytes
+    that are no UTF-8; one quarter has no pre file, one no cik. Returns the audit
+    of the facts and every loaded fact with its footnote."""
+    from types import SimpleNamespace
+
+    from factlake.plans.ingest import ingest_quarters
+    from factlake.sources.export import write_quarter_files
+    from factlake.sources.lake import LakeTables
+    from factlake.sources.tsv import SPARK_LAYOUT
+
+    spark = t.sub.sparkSession
+    work = _load_folder(spark)
+    late = t.sub.where(F.col("quarter") == _NO_PRE).select("adsh")
+    sub = t.sub.withColumn("cik", F.when(F.col("quarter") != _NO_CIK, F.col("cik")))
+    quarters = write_quarter_files(SimpleNamespace(sub=sub, tag=t.tag, num=t.num, pre=t.pre.join(late, "adsh", "left_anti")), f"{work}/raw")
+    facts = t.num.groupBy(*NUM_KEY).agg(F.max("value").alias("value")).join(t.sub.select("adsh", "quarter"), "adsh")
+    _dirty_lines(facts).write.mode("overwrite").partitionBy("quarter").text(f"{work}/raw/num")
+    res = ingest_quarters(spark, f"{work}/raw", f"{work}/lake", quarters, layout=SPARK_LAYOUT)
+    counts = F.concat_ws("|", "status", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in _AUDITED])
+    audit = res.audit.where("table_name = 'num'").select(F.lit("audit").alias("what"), "quarter", counts.alias("row_text"))
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in [*NUM_KEY, "value", "footnote"]])
+    return audit.union(LakeTables(spark, f"{work}/lake").num.select(F.lit("num"), "quarter", row))
+
+
+_COUNTS_SQL = sql_with("sub", "num", "pre", "tag", extra=f"facts AS ({_FIRST_LISTED.format('num')})") + """
+SELECT 'sub' AS table_name, count(*) AS n_rows, min(filed) AS lo_date, max(filed) AS hi_date FROM sub
+UNION ALL
+SELECT 'num', count(*), min(ddate), max(ddate) FROM facts WHERE adsh IN (SELECT adsh FROM sub)
+UNION ALL
+SELECT 'pre', count(*), NULL, NULL FROM pre WHERE adsh IN (SELECT adsh FROM sub)
+UNION ALL
+SELECT 'tag', count(*), NULL, NULL FROM tag
+WHERE EXISTS (FROM num n, sub s WHERE n.adsh = s.adsh AND n.tag = tag.tag AND n.version = tag.version)"""
+
+
+@_register("lake_statistics", _COUNTS_SQL)
+def lake_statistics(t):
+    """Rows and date bounds of a loaded lake's tables, from its manifest alone."""
+    from factlake.sources.lake import table_counts
+
+    spark = t.sub.sparkSession
+    work = _load_folder(spark)
+    _loaded(spark, work, t, "raw")
+    return table_counts(spark, f"{work}/lake")
+
+
 def operator_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
