@@ -73,6 +73,17 @@ def _rows_of_targets(base: DataFrame, want: DataFrame, group, keys) -> DataFrame
     return b.join(w, cond).select(*[F.col(f"b.{c}") for c in base.columns], *[F.col(f"w.{c}") for c in _TARGET])
 
 
+#: Targets (ranks of groups) that are broadcast; more of them meet their rows in a shuffle.
+BROADCAST_TARGETS = 100_000
+
+
+def _targeted(want: DataFrame) -> DataFrame:
+    """Targets as a table of known size, broadcast if it is small: their rows are then found
+    where they are."""
+    want = want.checkpoint()
+    return F.broadcast(want) if want.count() <= BROADCAST_TARGETS else want
+
+
 def _located(counts: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """The rows of ``counts`` (by, key, _c, targets with ranks below which
     ``_below`` lie) that hold their target's rank."""
@@ -91,34 +102,40 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str | Column,
     ``ceil(p*(n-1))`` (0-based), computed in double; NULL values are ignored, NaN
     is larger than Infinity. Returns ``group`` + ``names`` (+ ``count_name``: n,
     ``sum_name``: the sum of the values in their own type). Groups whose values
-    are all NULL are absent. ``df`` is read once: its counts per (group, value)
-    are cut by a reliable ``checkpoint()``.
+    are all NULL are absent.
+
+    No value is shuffled but those next to a wanted rank: the rows (group and value only) are cut by
+    a reliable ``checkpoint()``, without a shuffle; a first histogram of them, combined in each task,
+    brackets every rank; a second one is taken inside the brackets, and only values inside
+    its buckets are counted one by one. A task gives a row per group and bucket, whatever the number of
+    distinct values.
     """
     group = list(group)
     v = F.col(value) if isinstance(value, str) else value
     ensure_checkpoint_dir(df.sparkSession)
-    counts = (df.select(*group, v.alias("_x")).where(F.col("_x").isNotNull())
-              .groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")).checkpoint())
-    base = counts.withColumn("_v", F.col("_x").cast("double"))
-    base = base.withColumn("_b", value_bucket(F.col("_v"))).withColumn("_b2", fine_bucket(F.col("_v")))
+    cut = df.select(*group, v.alias("_x")).where(F.col("_x").isNotNull()).checkpoint()
+    base = cut.withColumn("_v", F.col("_x").cast("double"))
+    base = base.withColumn("_b", value_bucket(F.col("_v"))).withColumn("_b2", fine_bucket(F.col("_v"))).withColumn("_c", F.lit(1).cast("long"))
 
     # the bucket of each wanted rank: lo/hi order statistic of every probability
     hist = base.groupBy(*group, "_b").agg(F.sum("_c").alias("_c"))
     hist = hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
     hist = hist.select(*group, "_b", "_c", "_n", F.lit(0).cast("long").alias("_below"), F.explode(F.array(*_targets(probs))).alias("_t"))
     side = [*group, "_i", "_side"]
-    want = _located(hist.select(*group, "_b", "_c", "_n", "_below", "_t.*"), side, "_b").select(*group, "_b", *_TARGET)
+    want = _targeted(_located(hist.select(*group, "_b", "_c", "_n", "_below", "_t.*"), side, "_b").select(*group, "_b", *_TARGET))
     rows = _rows_of_targets(base.select(*group, "_b", "_b2", "_v", "_c"), want, group, ["_b"])
     # the finer bucket inside it
     fine = rows.groupBy(*group, "_b2", *_TARGET).agg(F.sum("_c").alias("_c"))
-    inner = _located(fine, side, "_b2").select(*group, "_b2", "_i", "_side", F.col("_below").alias("_low"))
+    inner = _targeted(_located(fine, side, "_b2").select(*group, "_b2", "_i", "_side", F.col("_below").alias("_low")))
     r, i = rows.alias("r"), inner.alias("i")
     near = r.join(i, [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in group]
                   + [F.col(f"r.{k}") == F.col(f"i.{k}") for k in ("_b2", "_i", "_side")])
     near = near.select(*[F.col(f"r.{c}") for c in (*group, "_v", "_c", "_i", "_side", "_r", "_pos", "_n")], F.col("i._low").alias("_below"))
+    kept = [c for c in near.columns if c != "_c"]
+    near = near.groupBy(*kept).agg(F.sum("_c").alias("_c"))
     out = _assemble(_located(near, side, "_v"), group, probs, names, count_name)
     if sum_name:
-        totals = counts.groupBy(*group).agg(F.sum(F.col("_x") * F.col("_c")).alias(sum_name))
+        totals = cut.groupBy(*group).agg(F.sum("_x").alias(sum_name))
         o, t = out.alias("o"), totals.alias("t")
         out = o.join(t, [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in group]).select("o.*", f"t.{sum_name}")
     return out

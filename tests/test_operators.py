@@ -270,3 +270,23 @@ def test_concepts_are_the_stated_tags():
     assert CONCEPTS["capex"] == ["PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets"]
     assert CONCEPTS["income_tax"] == ["IncomeTaxExpenseBenefit"]
     assert len(EXPENSE_TAGS) == 11 and SECTOR_SICS == [2834, 7372, 6022, 7370, 1311]
+
+
+def test_percentiles_shuffle_no_row_per_distinct_value(spark, monkeypatch):
+    """20,000 distinct values: what is aggregated by value is next to a wanted rank; also where
+    the targets are too many to broadcast."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from factlake.operators import stats
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("g"), (F.col("id") * 17.25 % 99_991 - 500).alias("v"))
+    want = {g: np.percentile([r.v for r in df.where(F.col("g").eqNullSafe(F.lit(g))).collect()], [1, 50, 99]) for g in ("a", None)}
+    seen = []
+    located = stats._located
+    monkeypatch.setattr(stats, "_located", lambda c, by, key: seen.append((key, c)) or located(c, by, key))
+    for limit in (stats.BROADCAST_TARGETS, 0):
+        monkeypatch.setattr(stats, "BROADCAST_TARGETS", limit)
+        for r in stats.percentiles(df, ["g"], "v", [0.01, 0.5, 0.99], ["p1", "p50", "p99"]).collect():
+            assert np.allclose([r.p1, r.p50, r.p99], want[r.g], rtol=0, atol=1e-9)
+    assert all(c.count() < 200 for key, c in seen if key == "_v")
