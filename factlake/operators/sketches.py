@@ -1,8 +1,8 @@
 """Distinct counts that can be kept and merged.
 
 An exact count of distinct values has to see every value again when a quarter is
-added. A HyperLogLog sketch of each quarter is a few kilobytes, whatever its rows; merged sketches depend
-on the values alone, not on how these were dealt into parts. With
+added. A HyperLogLog sketch of each quarter is a few kilobytes, whatever its rows, and sketches of any set of
+quarters merge into one of all their values. With
 ``lg_k`` = 14 the standard error is 0.8 % (1.04 / sqrt(2 ** 14)); ``ERROR_BOUND`` is three of them.
 """
 

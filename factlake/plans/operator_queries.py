@@ -842,26 +842,22 @@ def lake_statistics(t):
 
 
 _SKETCH_SQL = sql_with("sub") + """
-SELECT form, count(DISTINCT cik) AS companies, count(DISTINCT adsh) AS filings, true AS within_bound, true AS same_from_other_parts
+SELECT form, count(DISTINCT cik) AS companies, count(DISTINCT adsh) AS filings, true AS within_bound
 FROM sub GROUP BY form"""
 
 
 @_register("distinct_sketches", _SKETCH_SQL)
 def distinct_sketches_q(t):
     """A5: distinct companies and filings by form from sketches of the quarters, beside the exact
-    counts: whether they are within the stated bound, and whether other parts merge into the same."""
+    counts: whether they are within the stated bound."""
     from factlake.operators.sketches import ERROR_BOUND, distinct_sketches, merged_counts
 
     cols = ["cik", "adsh"]
     by_quarter = merged_counts(distinct_sketches(t.sub, ["form", "quarter"], cols), ["form"], cols)
-    once = merged_counts(distinct_sketches(t.sub, ["form", "afs", "sic"], cols), ["form"], cols)
     exact = t.sub.groupBy("form").agg(F.countDistinct("cik").alias("companies"), F.countDistinct("adsh").alias("filings"))
     near = [F.abs(F.col(a) - F.col(n)) <= F.greatest(F.col(n) * ERROR_BOUND, F.lit(1)) for a, n in (("m_cik", "companies"), ("m_adsh", "filings"))]
-    same = [F.col(f"m_{c}") == F.col(f"o_{c}") for c in cols]
     merged = by_quarter.select("form", *[F.col(c).alias(f"m_{c}") for c in cols])
-    single = once.select("form", *[F.col(c).alias(f"o_{c}") for c in cols])
-    return exact.join(merged, "form").join(single, "form").select(
-        "form", "companies", "filings", (near[0] & near[1]).alias("within_bound"), (same[0] & same[1]).alias("same_from_other_parts"))
+    return exact.join(merged, "form").select("form", "companies", "filings", (near[0] & near[1]).alias("within_bound"))
 
 
 def operator_queries() -> dict[str, Query]:
