@@ -9,16 +9,18 @@ the words of the language. Candidates inside a longer candidate that is as frequ
 
 How it is counted: the texts are read once and written as blocks, each the words
 of a stretch of texts of one language as numbers into the block's own sorted
-vocabulary. Phrases are then counted length by length. A block sorts and counts its
-phrases of one length and builds a count transducer from them for each prefix
-range (``count_automata``); transducers of one range meet in one task, which sums
-them in a union and keeps the phrases with ``least`` occurrences. A phrase of k words
-can have so many only if its two parts of k - 1 words do, so a block counts
-no phrase whose parts are rarer: those that remain are known to all tasks
-as a bit filter of fixed size (``FILTER_BITS``), which may let rare phrases
-through, which costs time and changes no count. Parts of candidates are looked up by
-composition: the parts asked for become a transducer of their prefix range, which is walked
-together with the range's counts.
+vocabulary. A phrase of k words can have ``least`` occurrences only if its two parts of k - 1 words
+do. So hashes of phrases are summed length by length over all blocks, only of those whose parts
+stood, dealt out by ranges of the hash; what reaches ``least`` is known to all tasks as a
+bit filter of fixed size (``FILTER_BITS``). A filter may let rare phrases through, which costs
+time and changes no count.
+
+Then every shard (the blocks of a task, up to ``SHARD_KEYS`` phrases) builds count transducers from its
+sorted phrases of all lengths, one for each prefix range (``count_automata``). Transducers of a
+range meet in one task, which unites them, sums their weights and keeps the phrases with
+``least`` occurrences: these counts are those of the words themselves, not of hashes.
+Parts of candidates are looked up by composition: the parts asked for become a transducer of their
+prefix range, which is walked together with the range's counts.
 
 Prefix ranges are cut at phrases found in a few blocks, so that a word which begins a
 third of all phrases is cut into several; the cuts decide where a phrase is
@@ -33,8 +35,8 @@ without candidates has no rows; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -43,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import heavy_join, prepare, written
@@ -55,8 +57,12 @@ BLOCK_WORDS = 1 << 20
 #: Bytes of a text that are split at a time.
 SLICE = 1 << 20
 FILTER_BITS = 1 << 27
+#: Bits of a hash that are summed: phrases that share them only look more frequent than they are.
+HASH_BITS = 48
 #: Blocks and phrases of each from which the cuts of the prefix ranges are taken.
 SAMPLED_BLOCKS, SAMPLED_PHRASES = 8, 2000
+#: Phrases that a task holds before it builds transducers from them.
+SHARD_KEYS = 400_000
 #: Bytes of transducers that are united at a time.
 UNITE_BYTES = 32 << 20
 
@@ -173,92 +179,177 @@ class BitFilter:
         self.bits = np.frombuffer(bits, np.uint8)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = h % np.uint64(FILTER_BITS)
+        at = (h >> np.uint64(64 - HASH_BITS)) % np.uint64(FILTER_BITS)
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def counted(lang: str, carry: int, vocabulary: bytes, ids: bytes, k: int, frequent: BitFilter | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, phrases of ``k`` words as rows of places in words, their counts) of a
-    block, in order; only those whose two parts of k - 1 words are in ``frequent``."""
-    words = vocabulary.split(b"\n") if vocabulary else []
-    ids = np.frombuffer(zstd.ZstdDecompressor().decompress(ids), np.int32).astype(np.int64)
-    # phrases that end in the carried words were counted before
-    at = np.arange(max(0, carry - k + 1), max(0, len(ids) - k + 1))
-    # the pieces' ends so far: phrases with one inside are none
-    ends = np.concatenate(([0], np.cumsum(ids < 0)))
-    at = at[ends[at + k] == ends[at]]
-    if k > 1 and len(at):
-        own = _word_hashes(lang, words)[np.maximum(ids, 0)]
-        h = own
-        for j in range(1, k - 1):
-            h = _longer(h[:len(own) - j], own[j:])
-        ok = frequent(h)
-        at = at[ok[at] & ok[at + 1]]
-    if not len(at):
-        return words, np.zeros((0, k), np.int64), np.zeros(0, np.int64)
-    # rank of the first words, then of one word more each time
-    rank, found = ids[at], None
-    for j in range(k):
-        key = rank if j == 0 else rank * len(words) + ids[at + j]
-        _, found, rank, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return words, np.stack([ids[at[found] + j] for j in range(k)], 1), n
-
-
-def _not_above(rows: list[list[int]], words: list[bytes], lang: str, cut: tuple[str, Key]) -> int:
-    """How many of the sorted phrases are not above a cut."""
-    if lang != cut[0]:
-        return len(rows) if lang < cut[0] else 0
-    return bisect_left(range(len(rows)), True, key=lambda i: tuple(words[x] for x in rows[i]) > cut[1])
-
-
-def _transducers(level: DataFrame, k: int, cuts: list, frequent) -> DataFrame:
-    """(range, automaton) of every block's phrases of ``k`` words."""
+class Block:
+    """The phrases of one block."""
+
+    def __init__(self, lang: str, carry: int, vocabulary: bytes, ids: bytes):
+        self.carry = carry
+        self.words = vocabulary.split(b"\n") if vocabulary else []
+        self.ids = np.frombuffer(zstd.ZstdDecompressor().decompress(ids), np.int32).astype(np.int64)
+        self.hashes = _word_hashes(lang, self.words)
+        # the pieces' ends so far: phrases with one inside are none
+        self.ends = np.concatenate(([0], np.cumsum(self.ids < 0)))
+
+    def hashed(self, longest: int, frequent: BitFilter | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length up to ``longest``: where phrases start whose parts are all in
+        ``frequent``, and their hashes. Phrases that end in the carried words were counted before."""
+        own = self.hashes[np.maximum(self.ids, 0)] if self.words else np.zeros(len(self.ids), np.uint64)
+        at = np.flatnonzero(self.ids >= 0)
+        h = own[at]
+        for k in range(1, longest + 1):
+            if k > 1:
+                ok = np.zeros(len(self.ids) + 1, bool)
+                ok[at[frequent(h)]] = True
+                at = at[ok[at] & ok[at + 1]]  # both parts of k - 1 words
+                at = at[at + k <= len(self.ids)]
+                at = at[self.ends[at + k] == self.ends[at]]
+                h = own[at]
+                for j in range(1, k):
+                    h = _longer(h, own[at + j])
+                h = h ^ np.uint64(k)  # words are no phrases of another length
+            keep = at + k > self.carry
+            yield at[keep], h[keep]
+
+    def counts(self, at: np.ndarray, k: int) -> Iterator[tuple[Key, int]]:
+        """The phrases of ``k`` words that start there, in order, with their counts."""
+        if not len(at):
+            return
+        # rank of the first words, then of one word more each time
+        rank, found = self.ids[at], None
+        for j in range(k):
+            key = rank if j == 0 else rank * len(self.words) + self.ids[at + j]
+            _, found, rank, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        words, at = self.words, at[found]
+        for i, c in zip(at.tolist(), n.tolist(), strict=True):
+            yield tuple(words[x] for x in self.ids[i: i + k].tolist()), c
+
+
+def _hash_sums(level: DataFrame, k: int, least: int, slices: int, frequent) -> DataFrame:
+    """(bit) of the phrases of ``k`` words whose hash occurs ``least`` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = BitFilter(frequent.value) if frequent is not None else None
+        edges = [(i << HASH_BITS) // slices for i in range(1, slices)]
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, lang, _, carry, vocabulary, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, phrases, n = counted(lang, carry, vocabulary, ids, k, known)
-                name, rows = lang.encode("utf-8", "replace"), phrases.tolist()
-                # a phrase's range is the number of cuts before it: where the cuts fall among the phrases
-                edges = [0, *(_not_above(rows, words, lang, c) for c in cuts), len(rows)]
-                out, n = [], n.tolist()
-                for r, (a, b) in enumerate(zip(edges, edges[1:])):  # noqa: B905  one more edge than ranges
-                    if a < b:
-                        part = build(((name, *[words[x] for x in rows[i]]), n[i]) for i in range(a, b))
-                        out.append((r, *part.pack()))
-                if out:
-                    yield _automaton_batch(out)
+                *_, (_, h) = Block(lang, carry, vocabulary, ids).hashed(k, known)
+                held.append(h)
+                if sum(map(len, held)) > 4 * BLOCK_WORDS:
+                    yield _hash_batch(held, edges)
+                    held = []
+        if held:
+            yield _hash_batch(held, edges)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(rows, key=itemgetter(0)):
+            h, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+            for _, hashes, counts in group:
+                held.append(_unpacked(hashes, counts))
+                size += 16 * len(held[-1][0])
+                if size > UNITE_BYTES:
+                    h, n = _summed([(h, n), *held])
+                    held, size = [], 0
+            h, n = _summed([(h, n), *held])
+            yield pa.RecordBatch.from_arrays([pa.array((h[n >= least] % np.uint64(FILTER_BITS)).astype(np.int64))], ["bit"])
+
+    each = level.mapInArrow(count, "slice int, hashes binary, counts binary")
+    return each.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(add, "bit long")
+
+
+def _hash_batch(held: list[np.ndarray], edges: list[int]) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(held) >> np.uint64(64 - HASH_BITS), return_counts=True)
+    at = [0, *np.searchsorted(h, np.array(edges, np.uint64)).tolist(), len(h)]
+    rows = [(i, *_packed(h[a:b], n[a:b])) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                                       pa.array([r[2] for r in rows], pa.binary())], ["slice", "hashes", "counts"])
+
+
+def _packed(h: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising hashes as differences, and counts, both byte plane by byte plane, compressed."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    pack = zstd.ZstdCompressor(level=1).compress
+    return pack(steps.T.tobytes()), pack(n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstd.ZstdDecompressor().decompress
+    steps, n = (np.ascontiguousarray(np.frombuffer(unpack(raw), np.uint8).reshape(w, -1).T) for raw, w in ((hashes, 8), (counts, 4)))
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), n.view("<u4").ravel().astype(np.int64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
+def _transducers(level: DataFrame, longest: int, cuts: list[Key], frequent) -> DataFrame:
+    """(range, automaton) of every shard's phrases. Keys begin with the language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = BitFilter(frequent.value)
+        held: Counter = Counter()
+        for batch in batches:
+            for _, lang, _, carry, vocabulary, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, n in _phrases(lang, carry, vocabulary, ids, longest, known):
+                    held[key] += n
+                if len(held) > SHARD_KEYS:
+                    yield _shard(held, cuts)
+                    held = Counter()
+        if held:
+            yield _shard(held, cuts)
 
     return level.mapInArrow(count, f"range int, {_AUTOMATON}")
 
 
+def _phrases(lang: str, carry: int, vocabulary: bytes, ids: bytes, longest: int, known: BitFilter) -> Iterator[tuple[Key, int]]:
+    block, name = Block(lang, carry, vocabulary, ids), (lang.encode("utf-8", "replace"),)
+    for k, (at, h) in enumerate(block.hashed(longest, known), 1):
+        for key, n in block.counts(at[known(h)], k):
+            yield name + key, n
+
+
+def _shard(held: Counter, cuts: list[Key]) -> pa.RecordBatch:
+    keys = sorted(held)
+    # a phrase's range is the number of cuts before it: where the cuts fall among the phrases
+    edges = [0, *(bisect_right(keys, c) for c in cuts), len(keys)]
+    return _automaton_batch([(r, *build((key, held[key]) for key in keys[a:b]).pack())
+                             for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b])  # noqa: B905  one more edge than ranges
+
+
 def _automaton_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [("range", pa.int32()), *_AUTOMATON_FIELDS]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
 
-def _cuts(level: DataFrame, k: int, frequent, ranges: int) -> list[tuple[str, Key]]:
-    """Phrases that cut those of a few blocks into ``ranges`` equal parts."""
+def _cuts(level: DataFrame, longest: int, frequent, ranges: int) -> list[Key]:
+    """Keys that cut the phrases of a few blocks into ``ranges`` equal parts."""
     chosen = [r.block for r in level.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLED_BLOCKS).collect()]
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = BitFilter(frequent.value) if frequent is not None else None
+        known = BitFilter(frequent.value)
         for batch in batches:
             for _, lang, _, carry, vocabulary, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, phrases, _ = counted(lang, carry, vocabulary, ids, k, known)
-                step = max(1, -(-len(phrases) // SAMPLED_PHRASES))
-                rows = [[words[x] for x in p] for p in phrases[::step].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.list_(pa.binary())),
-                                                  pa.array([step] * len(rows), pa.int64())], ["lang", "words", "w"])
-
-    sample = sorted((r.lang, tuple(map(bytes, r.words)), r.w) for r in level.where(F.col("block").isin(chosen))
-                    .mapInArrow(some, "lang string, words array<binary>, w long").collect()) if chosen else []
-    total, seen, cuts = sum(w for *_, w in sample), 0, []
-    for lang, key, w in sample:
+                keys = sorted(key for key, _ in _phrases(lang, carry, vocabulary, ids, longest, known))
+                step = max(1, -(-len(keys) // SAMPLED_PHRASES))
+                yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in keys[::step]], pa.list_(pa.binary())),
+                                                  pa.array([step] * len(keys[::step]), pa.int64())], ["words", "w"])
+
+    rows = level.where(F.col("block").isin(chosen)).mapInArrow(some, "words array<binary>, w long").collect() if chosen else []
+    sample = sorted((tuple(map(bytes, r.words)), r.w) for r in rows)
+    total, seen, cuts = sum(w for _, w in sample), 0, []
+    for key, w in sample:
         seen += w
-        if len(cuts) < ranges - 1 and seen * ranges >= (len(cuts) + 1) * total and (lang, key) not in cuts[-1:]:
-            cuts.append((lang, key))
+        if len(cuts) < ranges - 1 and seen * ranges >= (len(cuts) + 1) * total and key not in cuts[-1:]:
+            cuts.append(key)
     return cuts
 
 
@@ -281,101 +372,89 @@ def _united(pieces: DataFrame, ranges: int, least: int) -> DataFrame:
 
 
 def entries(counts: DataFrame) -> DataFrame:
-    """(lang, phrase, k, f, bit) of every key of the transducers ``counts``; ``bit`` is the key's
-    place in a bit filter."""
+    """(lang, phrase, k, f) of every key of the transducers ``counts``."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, labels, shape, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for lang, rows in groupby(Automaton.unpack(labels, shape, counts).items(), key=lambda x: x[0][0]):
-                    rows, name = list(rows), lang.decode("utf-8", "replace")
-                    words = sorted({w for key, _ in rows for w in key[1:]})
-                    own = dict(zip(words, _word_hashes(name, words).tolist(), strict=True))
-                    hashes = np.array([[own[w] for w in key[1:]] for key, _ in rows], np.uint64)
-                    h = hashes[:, 0]
-                    for j in range(1, hashes.shape[1]):
-                        h = _longer(h, hashes[:, j])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(rows), pa.string()), pa.array([b" ".join(key[1:]).decode("utf-8", "replace") for key, _ in rows], pa.string()),
-                         pa.array([len(key) - 1 for key, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.int64()),
-                         pa.array((h % np.uint64(FILTER_BITS)).astype(np.int64))], ["lang", "phrase", "k", "f", "bit"])
-
-    return counts.mapInArrow(spell, "lang string, phrase string, k int, f long, bit long")
-
-
-def _filter(spark: SparkSession, found: DataFrame):
-    """The keys of ``found`` as a broadcast bit filter: FILTER_BITS / 8 bytes, whatever the input."""
-    at = F.col("bit") + 1  # buckets of bits begin at 1
-    bits = bytearray(FILTER_BITS // 8)
-    for r in found.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
-        bits[(r.b - 1) * 4096: r.b * 4096] = r.bits
-    return spark.sparkContext.broadcast(bytes(bits))
+                rows = list(Automaton.unpack(labels, shape, counts).items())
+                yield pa.RecordBatch.from_arrays(
+                    [*_spelt([key for key, _ in rows]), pa.array([len(key) - 1 for key, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.int64())],
+                    ["lang", "phrase", "k", "f"])
+
+    return counts.mapInArrow(spell, "lang string, phrase string, k int, f long")
+
+
+def _spelt(keys: list[Key]) -> list[pa.Array]:
+    return [pa.array([key[0].decode("utf-8", "replace") for key in keys], pa.string()),
+            pa.array([b" ".join(key[1:]).decode("utf-8", "replace") for key in keys], pa.string())]
+
+
+def _key(lang: str, phrase: str) -> Key:
+    return (lang.encode("utf-8", "replace"), *phrase.encode("utf-8", "replace").split(b" "))
 
 
 class Counts:
     """The phrases of ``docs`` (lang, text) of up to ``longest`` words that occur ``least`` times or
-    more: ``tables[k]`` holds the transducers of those of k words, by prefix range."""
+    more: ``table`` holds their transducers by prefix range."""
 
     def __init__(self, docs: DataFrame, longest: int = LONGEST, least: int = LEAST, ranges: int | None = None, block_words: int = BLOCK_WORDS):
         spark = prepare(docs.sparkSession)
         self.ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.tables: dict[int, DataFrame] = {}
-        self.cuts: dict[int, list] = {}
         self.blocks = written(blocks(docs, longest, block_words), "phrase-blocks")
-        frequent = None
+        bits, frequent = bytearray(FILTER_BITS // 8), None
         for k in range(1, longest + 1):
-            self.cuts[k] = _cuts(self.blocks, k, frequent, self.ranges)
-            pieces = _transducers(self.blocks, k, self.cuts[k], frequent)
-            self.tables[k] = written(_united(pieces, self.ranges, least), "phrase-counts")
-            if k < longest:
-                frequent = _filter(spark, entries(self.tables[k]))
+            self._add(bits, _hash_sums(self.blocks, k, least, self.ranges, frequent))
+            if frequent is not None:
+                frequent.unpersist()
+            frequent = spark.sparkContext.broadcast(bytes(bits))
+        self.cuts = _cuts(self.blocks, longest, frequent, self.ranges)
+        self.table = written(_united(_transducers(self.blocks, longest, self.cuts, frequent), self.ranges, least), "phrase-counts")
+
+    @staticmethod
+    def _add(bits: bytearray, found: DataFrame) -> None:
+        """Put (bit) into a filter: FILTER_BITS / 8 bytes, whatever the input."""
+        at = F.col("bit") + 1  # buckets of bits begin at 1
+        each = found.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        for r in each.collect():
+            own = slice((r.b - 1) * 4096, r.b * 4096)
+            bits[own] = (int.from_bytes(bits[own], "big") | int.from_bytes(r.bits, "big")).to_bytes(4096, "big")
 
     def entries(self) -> DataFrame:
         """(lang, phrase, k, f) of all counted phrases."""
-        out = None
-        for t in self.tables.values():
-            out = entries(t) if out is None else out.union(entries(t))
-        return out.drop("bit")
+        return entries(self.table)
 
     def words(self) -> DataFrame:
         """(lang, n): all words of a language."""
         return self.blocks.groupBy("lang").agg(F.sum("n").alias("n"))
 
     def lookup(self, asked: DataFrame) -> DataFrame:
-        """(lang, phrase, f) of the rows (lang, phrase, k) of ``asked`` that were
+        """(lang, phrase, f) of the rows (lang, phrase) of ``asked`` that were
         counted, each once: composition range by range."""
         cuts = self.cuts
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                at = [bisect_left(cuts[k], (lang, tuple(phrase.encode("utf-8", "replace").split(b" ")))) for k, lang, phrase in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), *batch.columns[1:]], ["k", "range", "lang", "phrase"])
-
-        counts = None
-        for k, t in self.tables.items():
-            one = t.withColumn("k", F.lit(k))
-            counts = one if counts is None else counts.union(one)
-        mine = asked.select("k", "lang", "phrase").distinct().mapInArrow(place, "k int, range int, lang string, phrase string")
-        blank = [F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("phrase", "string"))]
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in counts.schema.fields if f.name in ("labels", "shape", "counts")]
-        # a range's transducer first, then what is asked of it, in order
-        both = counts.select("k", "range", *blank, "labels", "shape", "counts").union(mine.select("*", *none))
+                at = [bisect_left(cuts, _key(lang, phrase)) for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["range", "lang", "phrase"])
+
+        mine = asked.select("lang", "phrase").distinct().mapInArrow(place, "range int, lang string, phrase string")
+        blank = [F.lit(None).cast("string").alias(c) for c in ("lang", "phrase")]
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.table.schema.fields if f.name != "range"]
+        # a range's transducer first, then what is asked of it
+        both = self.table.select("range", *blank, "labels", "shape", "counts").union(mine.select("*", *none))
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for _, group in groupby(rows, key=itemgetter(0, 1)):
-                _, _, lang, _, *packed = next(group)
+            for _, group in groupby(rows, key=itemgetter(0)):
+                _, lang, _, *packed = next(group)
                 if lang is not None:
                     continue  # nothing was counted in this range
-                keys = sorted((lang.encode("utf-8", "replace"), *phrase.encode("utf-8", "replace").split(b" ")) for _, _, lang, phrase, *_ in group)
+                keys = sorted(_key(lang, phrase) for _, lang, phrase, *_ in group)
                 got = list(compose(build((key, 1) for key in keys), Automaton.unpack(*packed)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[0].decode("utf-8", "replace") for key, _ in got], pa.string()),
-                     pa.array([b" ".join(key[1:]).decode("utf-8", "replace") for key, _ in got], pa.string()),
-                     pa.array([c for _, c in got], pa.int64())], ["lang", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([*_spelt([key for key, _ in got]), pa.array([c for _, c in got], pa.int64())], ["lang", "phrase", "f"])
 
-        return (both.repartition(self.ranges, "k", "range").sortWithinPartitions("k", "range", F.asc_nulls_first("lang"), "phrase")
+        return (both.repartition(self.ranges, "range").sortWithinPartitions("range", F.asc_nulls_first("lang"), "phrase")
                 .mapInArrow(walk, "lang string, phrase string, f long"))
 
 
@@ -395,12 +474,12 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longe
     cut = F.explode(F.expr("sequence(1, k - 1)"))
     cuts = candidates.select("lang", "phrase", "k", "a", cut.alias("cut"))
     parts = cuts.select("lang", "phrase", "k", "a", "cut", F.explode(F.array(
-        F.struct(F.lit("l").alias("side"), F.array_join(F.slice(words, F.lit(1), F.col("cut")), " ").alias("part"), F.col("cut").alias("part_k")),
-        F.struct(F.lit("r").alias("side"), F.array_join(F.slice(words, F.col("cut") + 1, F.col("k")), " ").alias("part"), (F.col("k") - F.col("cut")).alias("part_k")),
-    )).alias("p")).select("lang", "phrase", "k", "a", "cut", "p.side", "p.part", "p.part_k")
+        F.struct(F.lit("l").alias("side"), F.array_join(F.slice(words, F.lit(1), F.col("cut")), " ").alias("part")),
+        F.struct(F.lit("r").alias("side"), F.array_join(F.slice(words, F.col("cut") + 1, F.col("k")), " ").alias("part")),
+    )).alias("p")).select("lang", "phrase", "k", "a", "cut", "p.side", "p.part")
     parts = written(parts, "phrase-parts")
     askers = parts.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("w"))
-    found = counts.lookup(parts.select("lang", F.col("part").alias("phrase"), F.col("part_k").alias("k")))
+    found = counts.lookup(parts.select("lang", F.col("part").alias("phrase")))
     known = written(found.withColumnRenamed("phrase", "part").join(askers, ["lang", "part"]), "phrase-lookups")
     met = heavy_join(parts, known, ["lang", "part"], "w", F.xxhash64("phrase", "cut"), how="inner")
     side = {s: F.max(F.when(F.col("side") == s, F.col("f"))) for s in "lr"}
