@@ -67,6 +67,8 @@ class Tree(HTMLParser):
         self.tags, self.parents, self.names, self.marks = ["#page"], [-1], [()], [None]
         self.own, self.linked = [0], [0]  # characters of text in the element itself; of these inside links
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # depths of the open elements, by tag
+        self.block_of = [0]  # the nearest element around each one, itself included, that is not inline
         self.blocks: list[tuple[int, list[str]]] = []  # (element, pieces)
         self.fresh_block = True
         self.silent = self.links = 0
@@ -86,6 +88,8 @@ class Tree(HTMLParser):
         self.marks.append(self.marks[parent] if mark is None else mark)
         self.own.append(0)
         self.linked.append(0)
+        self.block_of.append(self.block_of[parent] if tag in INLINE else len(self.tags) - 1)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.tags) - 1)
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -94,6 +98,7 @@ class Tree(HTMLParser):
 
     def _pop(self) -> None:
         tag = self.tags[self.open.pop()]
+        self.at[tag].pop()
         self.silent -= tag in SILENT
         self.links -= tag == "a"
         if tag not in INLINE:
@@ -101,21 +106,17 @@ class Tree(HTMLParser):
 
     def _end(self, kinds, barriers) -> None:
         """Close the nearest open element of these kinds, and what is in it."""
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in kinds:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            if tag in barriers:
-                return
+        depth = max((self.at[t][-1] for t in kinds if self.at.get(t)), default=0)
+        if depth and all(depth >= self.at[t][-1] for t in barriers if self.at.get(t)):
+            while len(self.open) > depth:
+                self._pop()
 
     def _end_head(self) -> None:
         if self.tags[self.open[-1]] == "head":
             self._pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "head", "body") and tag in (self.tags[i] for i in self.open):
+        if tag in ("html", "head", "body") and self.at.get(tag):
             return
         if tag not in HEAD:
             self._end_head()
@@ -145,9 +146,7 @@ class Tree(HTMLParser):
             self._end_head()
         if self.silent:
             return
-        at = self.open[-1]
-        while self.tags[at] in INLINE:
-            at = self.parents[at]
+        at = self.block_of[self.open[-1]]
         if self.fresh_block or self.blocks[-1][0] != at:
             if not data.strip():
                 return

@@ -73,3 +73,15 @@ def test_head_that_is_never_closed():
         assert [" ".join("".join(x).split()) for _, x in h.parsed(page).blocks] == want, page
     assert h.extract("<html><head><title>T</title><p>The whole article.", h.default_model()) == "The whole article."
     assert h.extract(f"<html><head>{meta}", h.default_model()) == ""
+
+
+def test_time_is_linear_in_depth():
+    """100,000 elements in each other, with end tags that close none of them, and text at every depth."""
+    import time
+
+    n = 100_000
+    html = "<article>" + "".join(f"<{('b', 'div', 'p', 'span', 'li')[i % 5]}>t</x></table>" for i in range(n))
+    began = time.process_time()
+    tree = h.parsed(html)
+    assert time.process_time() - began < 20 and len(tree.tags) > n
+    assert sum(len("".join(pieces)) for _, pieces in tree.blocks) == n
