@@ -92,7 +92,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 def window(word: bytes) -> bytes:
     """A word between spaces, each byte ``REPEAT`` times."""
-    return np.repeat(np.frombuffer(b" " + word + b" ", np.uint8), REPEAT).tobytes()
+    raw = b" " + word + b" "
+    out = bytearray(REPEAT * len(raw))
+    for k in range(REPEAT):
+        out[k::REPEAT] = raw
+    return bytes(out)
 
 
 def sample(word: bytes) -> bytes:
