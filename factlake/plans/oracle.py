@@ -181,8 +181,9 @@ sector AS (
              / (CAST(SUM(revenue) AS DOUBLE) * CAST(SUM(revenue) AS DOUBLE)) AS h
     FROM rev WHERE fy = {hp['fy']} GROUP BY sic, fy)""") + f"""
 SELECT sic, fy, firm_count, sector_revenue, CAST(h AS DECIMAL(8,1)) AS hhi,
-       list_extract(['competitive', 'moderately concentrated', 'highly concentrated'],
-                    1 + CAST(h > 1500 AS INTEGER) + CAST(h > 2500 AS INTEGER)) AS concentration_label
+       -- fixed values: the labels and their cuts
+       CASE WHEN h > 2500 THEN 'highly concentrated' WHEN h > 1500 THEN 'moderately concentrated'
+            ELSE 'competitive' END AS concentration_label
 FROM sector WHERE firm_count >= {hp['min_firms']}
 ORDER BY hhi DESC, sic LIMIT 25"""
 
