@@ -158,7 +158,8 @@ class Model:
         near = [x for x in map(distance, words) if x[0] >= COVERED_STEPS[0]]
         return [max((d for d, _ in near), default=0.0), max((d for d, f in near if f), default=0.0),
                 *[math.log1p(sum(d >= s for d, _ in near)) for s in STEPS],
-                *[math.log1p(sum(f and d >= s for d, f in near)) for s in COVERED_STEPS], math.log1p(len(words)), 1.0]
+                *[math.log1p(sum(f and d >= s for d, f in near)) for s in COVERED_STEPS],
+                math.log1p(len(words)) if near else 0.0, 1.0]  # without evidence a text's length says nothing
 
     def score(self, text: str | None, distance) -> float:
         if self.constant is not None:
