@@ -256,3 +256,37 @@ def test_presentation_key_loaded_twice_fails_the_later_quarter(spark, scratch):
     assert sorted(r["adsh"] for r in t.sub.collect()) == ["A1", "C1"]
     assert sorted(r["adsh"] for r in t.num.collect()) == ["A1", "C1"]
     assert sorted(r["tag"] for r in t.tag.collect()) == ["Revenues"]
+
+
+def _repeating_tables(spark, folder):
+    """Orders and line items of which some come twice, two line items of one filing that share
+    a presentation key, and an order without a date."""
+    day = dt.datetime(1996, 2, 1)
+    orders = [(1, 10, "F", 1.0, day, "1-URGENT"), (2, 20, "O", 1.0, day.replace(month=8), "2-HIGH"),
+              (3, 30, "F", 1.0, dt.datetime(1997, 5, 1), "2-HIGH"), (4, 40, "F", 1.0, None, "2-HIGH")]
+    line = (1, 16, 3, 1, 10.0, 100.0, 0.1, 0.1, "A", "F", day)
+    lines = [line, (1, 17, 4, 2, 10.0, 200.0, 0.1, 0.1, "N", "F", day), (2, 18, 5, 1, 10.0, 300.0, 0.1, 0.1, "R", "F", day),
+             (3, 19, 6, 1, 10.0, 400.0, 0.1, 0.1, "A", "F", day), (4, 20, 7, 1, 10.0, 500.0, 0.1, 0.1, "A", "F", day),
+             (1, 16, 103, 1, 10.0, 600.0, 0.1, 0.1, "A", "F", day)]
+    spark.createDataFrame([*orders, orders[0], orders[1]], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([*lines, line], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                          "l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+
+
+@pytest.mark.parametrize("name, quarters", [("ingest_roundtrip", ["1996q1", "1996q3", "1997q2"]),
+                                            ("ingest_incremental", ["1996q3", "2099q1"]), ("lake_statistics", None)])
+def test_load_queries_on_repeated_keys(spark, scratch, name, quarters):
+    from factlake.plans.operator_queries import operator_queries
+
+    _repeating_tables(spark, scratch)
+    rows = operator_queries()[name](spark, scratch).collect()
+    if quarters is None:
+        assert {r.table_name: r.n_rows for r in rows} == {"sub": 3, "num": 5, "pre": 4, "tag": 4}
+        return
+    of = {t: sorted((r.quarter, r.row_text.split("|")[0].removeprefix("Amended ")) for r in rows if r.table_name == t) for t in ("sub", "num", "pre")}
+    assert [a for _, a in sorted(of["sub"], key=lambda x: x[1])] == ["1", "2", "3"]
+    assert sorted({q for q, _ in of["sub"]}) == quarters
+    assert [a for _, a in sorted(of["num"], key=lambda x: x[1])] == ["1", "1", "1", "2", "3"]
+    assert [a for _, a in sorted(of["pre"], key=lambda x: x[1])] == ["1", "1", "2", "3"]
