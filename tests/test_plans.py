@@ -3,6 +3,7 @@
 import re
 
 from factlake.plans import analytics as A
+from factlake.plans.operator_queries import operator_queries
 from factlake.sources.fixtures import fixture_tables
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,9 @@ def test_lake_scans_get_pushed_filters_and_pruned_columns(spark, scratch):
     # the fact scan reads only the columns the analysis needs
     num_scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "ddate" in ln][0]
     assert "footnote" not in num_scan and "pre" not in num_scan.split("Location")[0]
+
+
+def test_replace_by_filing_hashes_keys_and_sorts_no_rows(spark):
+    """Its shuffle grows in proportion: the same plan at every size, whose wide rows are not sorted."""
+    plan = operator_queries()["replace_by_filing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "Sort [" not in plan and "Broadcast" not in plan
