@@ -245,7 +245,11 @@ class LibraryEncoder:
         new = list({p for ps in parts.values() for p in ps}.difference(pieces))
         for at in range(0, len(new), 4096):
             some = new[at: at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            text = b" ".join(some).decode()
+            # a text that brings a few new ones is not worth waking the library's threads
+            coded = (self.tokenizer.encode(text, add_special_tokens=False) if len(some) < 256
+                     else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
+            ids = np.array(coded.ids, "<u4")
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a pre-token that the library parts again")
@@ -260,13 +264,15 @@ class LibraryEncoder:
         words = (text or "").encode("utf-8", "replace").split()
         for at in range(0, len(words), BLOCK):
             got = words[at: at + BLOCK]
-            new = set(got).difference(self.memo)
-            if len(self.memo) + len(new) > WORDS:
-                self.memo.clear()
-                new = set(got)
+            coded = list(map(self.memo.get, got))
+            new = [i for i, ids in enumerate(coded) if ids is None]
             if new:
-                self._learn(new)
-            yield np.frombuffer(b"".join(map(self.memo.__getitem__, got)), "<u4")
+                if len(self.memo) + len(new) > WORDS:
+                    self.memo.clear()
+                self._learn({got[i] for i in new})
+                for i in new:
+                    coded[i] = self.memo[got[i]]
+            yield np.frombuffer(b"".join(coded), "<u4")
 
 
 @functools.cache

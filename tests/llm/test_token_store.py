@@ -48,3 +48,13 @@ def test_store_equals_the_library(spark, odd_docs, no_docs):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
         start += len(want)
     assert token_store.token_store(no_docs, PATH).count() == 0
+
+
+def test_a_full_memo_learns_the_new_words_only(monkeypatch):
+    enc = token_store.LibraryEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole = [np.concatenate(list(enc.blocks(t))).tolist() for t in ("alpha beta gamma", "alpha delta beta delta gamma")]
+    enc.memo.clear()
+    monkeypatch.setattr(token_store, "WORDS", 3)
+    assert np.concatenate(list(enc.blocks("alpha beta gamma"))).tolist() == whole[0]
+    assert np.concatenate(list(enc.blocks("alpha delta beta delta gamma"))).tolist() == whole[1]
+    assert set(enc.memo) == {b"delta"}
