@@ -239,6 +239,23 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return written(ready.mapInArrow(write, "path string, n_records long"), "packages")
 
 
+def _batches(records: Iterator[dict], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The named fields of the records. A payload that is not among them goes with its record."""
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    for r in records:
+        rows.append(tuple(r[n] for n in names))
+        held += len(r["payload"]) if "payload" in names else 0
+        if len(rows) >= 2000 or held > 8 << 20:
+            yield batch()
+            rows, held = [], 0
+    yield batch()
+
+
 def read_packages(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """Every record of the packages; with ``payloads`` also the payload itself
     (empty for a revisit)."""
@@ -248,22 +265,12 @@ def read_packages(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     if payloads:
         names, types = [*names, "payload"], [*types, pa.binary()]
 
-    def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, at = open_store(path)
                 with store.open_input_file(at) as source:
-                    rows, held = [], 0
-                    for r in PackageReader(source).records():
-                        rows.append(r)
-                        held += len(r["payload"]) if payloads else 0
-                        if len(rows) >= 2000 or held > 8 << 20:
-                            yield batch_of(rows)
-                            rows, held = [], 0
-                    yield batch_of(rows)
+                    yield from _batches(PackageReader(source).records(), names, types)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -71,3 +71,25 @@ def test_packages_hold_the_payloads(spark, scratch, monkeypatch):
     path = manifest.first().path
     with zipfile.ZipFile(path) as z:
         assert z.testzip() is None and set(z.namelist()) == {warc_zip.ARCHIVE, warc_zip.INDEX}
+
+
+def test_reading_without_payloads_holds_none():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from factlake.llm.warc_zip import _batches
+
+    def records():
+        for i in range(200):
+            yield {"page_id": i, "payload": bytes(1 << 20)}
+
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in _batches(records(), ["page_id"], [pa.int64()]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 200 and peak < 8 << 20
+    both = list(_batches(records(), ["page_id", "payload"], [pa.int64(), pa.binary()]))
+    assert len(both) > 10 and sum(b.num_rows for b in both) == 200
