@@ -32,8 +32,10 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,7 +46,7 @@ from tokenizers import Tokenizer
 
 from .common import WORD_GAP, prepare
 
-#: Entries of a worker's memo of words; it starts anew when full.
+#: Entries of a worker's memo of words, and as many that it had before; it starts anew when full.
 MEMO = 400_000
 #: Bytes from which on a word or pre-token is never in the memo.
 LONG = 256
@@ -56,6 +58,10 @@ FINAL = 0x200
 #: From here on the library's tables decide what is a letter.
 LATIN_END = "\u0250"
 
+#: Marks that, alone after letters, are a pre-token of their own.
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _SPACE = regex.compile(r"\p{White_Space}+")
 _GAP = re.compile(WORD_GAP)
 
@@ -98,12 +104,9 @@ class Merges:
             sign[t] = sign[a] + sign[b]
         self.spelled = {s: t for t, s in sign.items()}
         self.longest = max(map(len, self.spelled))
-        self.ended: dict[str, int] = {}  # every ending of a token; the token where it is one, else -1
-        for s in self.spelled:
-            for k in range(1, len(s)):
-                self.ended[s[k:]] = -1
-        self.ended |= self.spelled
-        self._stable: dict[int, bool] = {}
+        self._known: dict[int, dict[int | None, bool]] = {t: {} for t in self.spelled.values()}
+        self._n_known = 0
+        self._automaton()
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
         if any(self.born.get(x, -1) >= r for (a, b), r in self.rank.items() for x in (a, b)):
@@ -117,29 +120,68 @@ class Merges:
             out.append((token, taken))
         return out
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether a and b can stand side by side in an encoding."""
-        known = self._stable.get(a << 32 | b)
-        if known is None:
-            if a not in self._right:
-                self._right[a] = self._spine(a, 1)
-            if b not in self._left:
-                self._left[b] = self._spine(b, 0)
-            known, rank = True, self.rank
-            for x, x_taken in self._right[a]:
-                for y, y_taken in self._left[b]:
-                    r = rank.get((x, y))
-                    # of equal ranks the one further left goes first
-                    if r is not None and r < x_taken and r <= y_taken:
-                        known = False
+    def _automaton(self) -> None:
+        """States are the beginnings of tokens: the longest that the symbols read
+        so far end in. ``step``: by symbol, the state one symbol longer; ``link``:
+        the next shorter state; ``ends``: the tokens that end there, longest first,
+        as (token, symbols, which tokens can stand before it)."""
+        none: dict[int, int] = {}  # of states that nothing continues
+        self.step, self.link, self.ends = [none], [0], [()]
+        step, link, ends, own, level = self.step, self.link, self.ends, {}, {0: []}
+        for s, t in self.spelled.items():
+            at = 0
+            for k, c in enumerate(map(ord, s)):
+                to = step[at].get(c)
+                if to is None:
+                    to = len(step)
+                    if step[at] is none:
+                        step[at] = {}
+                    step[at][c] = to
+                    step.append(none)
+                    link.append(0)
+                    ends.append(())
+                    level.setdefault(k, []).append((at, c, to))
+                at = to
+            own[at] = (t, len(s), self._known[t])
+        for k in sorted(level):
+            for at, c, to in level[k]:
+                x = at
+                while x:
+                    x = link[x]
+                    found = step[x].get(c)
+                    if found is not None:
+                        link[to] = found
                         break
-                if not known:
-                    break
-            if len(self._stable) > MEMO:
-                self._stable.clear()
-            self._stable[a << 32 | b] = known
+                rest = ends[link[to]]
+                ends[to] = (own[to], *rest) if to in own else rest
+
+    def stable(self, a: int | None, b: int) -> bool:
+        """Whether a and b can stand side by side in an encoding; a is -1 where
+        b is the first token, None where no encoding ends."""
+        known = self._known[b].get(a)
+        if known is None:
+            if self._n_known > MEMO:
+                for pairs in self._known.values():
+                    pairs.clear()
+                self._n_known = 0
+            self._n_known += 1
+            known = self._known[b][a] = a == -1 or a is not None and self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        if a not in self._right:
+            self._right[a] = self._spine(a, 1)
+        if b not in self._left:
+            self._left[b] = self._spine(b, 0)
+        rank = self.rank
+        for x, x_taken in self._right[a]:
+            for y, y_taken in self._left[b]:
+                r = rank.get((x, y))
+                # of equal ranks the one further left goes first
+                if r is not None and r < x_taken and r <= y_taken:
+                    return False
+        return True
+
     @functools.cached_property
     def sufficient_lookahead(self) -> int:
         """Symbols after which no reading further on can move a border."""
@@ -154,32 +196,28 @@ class Merges:
     def stream(self, word: bytes) -> Iterator[list[int]]:
         """The tokens of one pre-token, in runs that are emitted as they
         become stable; memory does not grow with the pre-token."""
-        ended, known, stable = self.ended, self._stable.get, self.stable
-        n, window = len(word), max(2 * self.sufficient_lookahead, 4096)
-        signs, last, base = "", [0], 0  # last[i]: last token of the prefix that ends at base + i
-        before = -1                     # the token emitted last
+        step, link, ends, stable = self.step, self.link, self.ends, self.stable
+        window = max(2 * self.sufficient_lookahead, 4096)
+        last: list[int | None] = [-1]  # last[i]: last token of the prefix that ends i symbols on; before all others the token emitted last
         size: list[int] = [0]
-        shift = FINAL * bool(self.suffix)
-        for at in range(n):
-            signs += chr(word[at] + shift * (at == n - 1))
-            i = len(signs)
-            for j in range(i - 1, -1, -1):
-                t = ended.get(signs[j:])
-                if t is None:  # no token ends in this, nor in anything longer
-                    j = -1
+        state = 0
+        for c in chain(word[:-1], (b + FINAL * bool(self.suffix) for b in word[-1:])):
+            to = step[state].get(c)
+            while to is None and state:
+                state = link[state]
+                to = step[state].get(c)
+            state = to or 0
+            i = len(last)
+            for t, n, known in ends[state]:
+                p = last[i - n]
+                ok = known.get(p)
+                if ok or ok is None and stable(p, t):
+                    last.append(t)
+                    size.append(n)
                     break
-                if t >= 0:
-                    p = last[j] if j else before
-                    if p == -1:
-                        break
-                    if p is not None:
-                        ok = known(p << 32 | t)
-                        if ok or ok is None and stable(p, t):
-                            break
-            else:
-                j = -1
-            last.append(t if j >= 0 else None)  # None: no encoding ends here (cannot happen while all bytes are tokens)
-            size.append(i - j if j >= 0 else 0)
+            else:  # no encoding ends here (cannot happen while all bytes are tokens)
+                last.append(None)
+                size.append(0)
             if i >= window:
                 paths = {j for j in range(i - self.longest + 1, i + 1) if j >= 0 and last[j] is not None}
                 while len(paths) > 1:
@@ -193,10 +231,9 @@ class Merges:
                         run.append(last[j])
                         j -= size[j]
                     run.reverse()
-                    before, signs, base = run[-1], signs[meet:], base + meet
-                    last, size = [0, *last[meet + 1:]], [0, *size[meet + 1:]]
+                    last, size = last[meet:], [0, *size[meet + 1:]]
                     yield run
-        run, j = [], len(signs)
+        run, j = [], len(last) - 1
         while j > 0:
             run.append(last[j])
             j -= size[j]
@@ -209,15 +246,19 @@ class Merges:
 
 
 class Memo(dict):
-    """Word to ids, worked out where missing; starts anew when full."""
+    """Word to ids, worked out where missing. When full, it starts anew, with
+    what is asked for again of the entries before."""
 
     def __init__(self, work):
-        self.work = work
+        self.work, self.before = work, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        got = self.work(word)
+        got = self.before.get(word)
+        if got is None:
+            got = self.work(word)
         if len(word) < LONG:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
             self[word] = got
         return got
@@ -237,6 +278,7 @@ class Parting:
         if not known:
             raise ValueError("a tokenizer file of another kind")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.lettered = split["pattern"]["Regex"] == _LETTERS and all("<" in x["content"] for x in self.spec["added_tokens"])
         self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         # other scripts' letters: parted by the library's own tables of characters
@@ -255,6 +297,26 @@ class Parting:
                 at = found.end()
         yield text[at:]
 
+    def plain(self, word: bytes) -> list[bytes] | None:
+        """The pre-tokens of a word of Latin letters with at most one mark after
+        them; None for any other word. Letters below ``LATIN_END`` are their own
+        normal form."""
+        mark = word[-1:]
+        body = word[:-1] if mark in MARKS else word
+        if not self.lettered:
+            return None
+        if body.isalpha():
+            shown = body.lower()
+        elif body.isascii():
+            return None
+        else:
+            text = body.decode("utf-8", "replace")
+            low = text.lower()
+            if not (text.isalpha() and low.isalpha()) or max(text) >= LATIN_END:
+                return None
+            shown = low.encode()
+        return [shown] if body is word else [shown, mark]
+
     def parted(self, text: str) -> list[bytes]:
         """The pre-tokens of a word without special tokens."""
         return list(self.each(text))
@@ -282,10 +344,14 @@ class Encoder:
         self.memo, self.pieces = Memo(self._word), Memo(self._piece)
 
     def _piece(self, raw: bytes) -> bytes:
-        return np.array(self.merges.tokens(raw), "<u4").tobytes()
+        ids = self.merges.tokens(raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
-        return b"".join(self.runs(word))
+        parts = self.parting.plain(word)
+        if parts is None:
+            return b"".join(self.runs(word))
+        return self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[p] for p in parts])
 
     def runs(self, word: bytes) -> Iterator[bytes]:
         """The ids of a word, those of a long pre-token as they become stable."""

@@ -33,7 +33,8 @@ import functools
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ RANK = 512
 SEGMENT = 1 << 20
 #: Appended to every document.
 END_ID = 1
-#: Words or rows handled at a time.
-BLOCK = 1 << 16
+#: Rows handled at a time, and words.
+BLOCK, LOOKED_UP = 1 << 16, 1 << 18
 #: Entries of a worker's memos, which start anew when full.
 WORDS, PIECES = 1_000_000, 500_000
 
@@ -219,7 +220,8 @@ class LibraryEncoder:
     vocabulary's pre-tokens never cross white space, so a text's ids are the
     ids of its words in order. Words new to the memo are parted into pre-tokens,
     and the library encodes the new ones among these in one call, parted by
-    spaces; each ends in a token with the mark of a word's end."""
+    spaces; each ends in a token with the mark of a word's end. Texts that follow
+    each other are looked up together, so that one call serves many."""
 
     def __init__(self, path: str):
         self.parting = Parting(path)
@@ -231,20 +233,25 @@ class LibraryEncoder:
         self.memo: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        parts: dict[bytes, list[bytes]] = {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if "<|" in text or not text.isascii() and max(text) >= LATIN_END:
-                self.memo[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                parts[w] = self.parting.parted(text)
-        pieces = self.pieces
-        new = list({p for ps in parts.values() for p in ps}.difference(pieces))
-        for at in range(0, len(new), 4096):
-            some = new[at: at + 4096]
+    def _learn(self, words: Iterable[bytes]) -> list[bytes]:
+        """The ids of words new to the memo."""
+        pieces, plain = self.pieces, self.parting.plain
+        if len(pieces) > PIECES:
+            pieces.clear()
+        words = list(words)
+        parts = list(map(plain, words))
+        whole: dict[int, bytes] = {}
+        for i, ps in enumerate(parts):
+            if ps is None:
+                text = words[i].decode("utf-8", "replace")
+                if "<|" in text or not text.isascii() and max(text) >= LATIN_END:
+                    whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                    parts[i] = ()
+                else:
+                    parts[i] = self.parting.parted(text)
+        new = list(set(chain.from_iterable(parts)).difference(pieces))
+        for at in range(0, len(new), 1 << 14):
+            some = new[at: at + (1 << 14)]
             text = b" ".join(some).decode()
             # a text that brings a few new ones is not worth waking the library's threads
             coded = (self.tokenizer.encode(text, add_special_tokens=False) if len(some) < 256
@@ -257,22 +264,53 @@ class LibraryEncoder:
             for p, end in zip(some, (4 * ends).tolist(), strict=True):
                 pieces[p] = raw[begin:end]
                 begin = end
-        for w, ps in parts.items():
-            self.memo[w] = b"".join([pieces[p] for p in ps])
+        out = [pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for ps in parts]
+        for i, ids in whole.items():
+            out[i] = ids
+        if len(self.memo) + len(words) > WORDS:
+            self.memo.clear()
+        self.memo.update(zip(words, out, strict=True))
+        return out
+
+    def _coded(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of these words. The memo is large and slow to look into: once for each."""
+        words = dict.fromkeys(words)
+        known = dict(zip(words, map(self.memo.get, words), strict=True))
+        new = [w for w, ids in known.items() if ids is None]
+        if new:
+            known.update(zip(new, self._learn(new), strict=True))
+        return known
 
     def blocks(self, text: str | None) -> Iterator[np.ndarray]:
-        words = (text or "").encode("utf-8", "replace").split()
-        for at in range(0, len(words), BLOCK):
-            got = words[at: at + BLOCK]
-            coded = list(map(self.memo.get, got))
-            new = [i for i, ids in enumerate(coded) if ids is None]
-            if new:
-                if len(self.memo) + len(new) > WORDS:
-                    self.memo.clear()
-                self._learn({got[i] for i in new})
-                for i in new:
-                    coded[i] = self.memo[got[i]]
-            yield np.frombuffer(b"".join(coded), "<u4")
+        words = _words(text)
+        for at in range(0, len(words), LOOKED_UP):
+            got = words[at: at + LOOKED_UP]
+            yield np.frombuffer(b"".join(map(self._coded(got).__getitem__, got)), "<u4")
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[Iterable[np.ndarray]]:
+        """The blocks of each text, to be read before the next is asked for. New
+        words of neighbouring texts are learned at once."""
+        held, n = [], 0
+        for text in texts:
+            words = _words(text)
+            held.append(words)
+            n += len(words)
+            if n >= LOOKED_UP:
+                long = held.pop() if len(words) >= LOOKED_UP else None
+                yield from self._together(held)
+                held, n = [], 0
+                if long is not None:
+                    yield self.blocks(text)
+        yield from self._together(held)
+
+    def _together(self, held: list[list[bytes]]) -> Iterator[Iterable[np.ndarray]]:
+        get = self._coded(chain.from_iterable(held)).__getitem__
+        for words in held:
+            yield (np.frombuffer(b"".join(map(get, words)), "<u4"),)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
 
 
 @functools.cache
@@ -298,12 +336,12 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, files: int | None
         rank = 0
         for batch in batches:
             ids, texts, ranks = (batch.column(i) for i in range(3))
-            for i in range(batch.num_rows):
-                if writer is None:
-                    store.create_dir(base, recursive=True)
-                    sink = store.open_output_stream(f"{base}/{name}")
-                    writer, rank = StoreWriter(sink), ranks[i].as_py()
-                writer.add(ids[i].as_py(), _ended(enc.blocks(texts[i].as_py()), end_id))
+            if writer is None and batch.num_rows:
+                store.create_dir(base, recursive=True)
+                sink = store.open_output_stream(f"{base}/{name}")
+                writer, rank = StoreWriter(sink), ranks[0].as_py()
+            for doc_id, blocks in zip(ids.to_pylist(), enc.each(t.as_py() for t in texts), strict=True):
+                writer.add(doc_id, _ended(blocks, end_id))
         if writer is not None:
             writer.close()
             sink.close()
@@ -321,7 +359,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, files: int | None
     return made.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
-def _ended(blocks: Iterator[np.ndarray], end_id: int) -> Iterator[np.ndarray]:
+def _ended(blocks: Iterable[np.ndarray], end_id: int) -> Iterator[np.ndarray]:
     yield from blocks
     yield np.array([end_id], "<u4")
 

@@ -80,3 +80,29 @@ def test_memory_does_not_grow_with_the_text(library):
         shown = library.decode(want, skip_special_tokens=False)
         assert got == (len(want), hashlib.sha256(want.tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
         assert max(map(len, enc.blocks(text))) <= 8 * bpe.BLOCK and peak < 8 << 20
+
+
+def test_plain_words_are_parted_as_by_the_pattern(noise):
+    parting = bpe.Parting(PATH)
+    words = noise(3000, "aZé.,'ßIİ1ȺŉÿÅ", 5) + ["don't", "<|", "a.b", "...", "A.", ".", "日.", "ǅ!", "a;", "é", "Ⱥ"]
+    plain = {w: parting.plain(w.encode()) for w in words}
+    assert all(got is None or got == parting.parted(w) for w, got in plain.items())
+    assert sum(got is not None for got in plain.values()) > 100 and plain["A."] == [b"a", b"."] and plain["don't"] is None
+
+
+def test_a_full_memo_keeps_what_is_asked_for_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 2)
+    asked = []
+    memo = bpe.Memo(lambda w: asked.append(w) or w * 2)
+    for w in (b"the", b"x1", b"x2", b"the", b"x3", b"the", b"x4"):
+        assert memo[w] == w * 2
+        assert len(memo) <= 2 and len(memo.before) <= 2
+    assert asked.count(b"the") == 1
+
+
+def test_pairs_are_found_again_after_a_full_memo(monkeypatch, library):
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    enc = bpe.Encoder(PATH)
+    for t in ("internationalisation of thingsandthe others", "thingsandthe internationalisation"):
+        assert enc.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert enc.merges._n_known <= 6 and sum(map(len, enc.merges._known.values())) == enc.merges._n_known

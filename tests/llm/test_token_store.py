@@ -58,3 +58,17 @@ def test_a_full_memo_learns_the_new_words_only(monkeypatch):
     assert np.concatenate(list(enc.blocks("alpha beta gamma"))).tolist() == whole[0]
     assert np.concatenate(list(enc.blocks("alpha delta beta delta gamma"))).tolist() == whole[1]
     assert set(enc.memo) == {b"delta"}
+
+
+def test_neighbouring_texts_are_learned_at_once(monkeypatch):
+    enc, calls = token_store.LibraryEncoder(PATH), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: calls.append(len(words)) or learn(words))
+    texts = ["alpha beta.", None, "beta gamma", "", "Ünï <|endoftext|> 日本 don't"] * 3
+    got = [np.concatenate([*blocks, []]).tolist() for blocks in enc.each(texts)]
+    t = Tokenizer.from_file(PATH)
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts] and calls == [8]
+    # a text beyond the limit comes in blocks of its own, in its place
+    monkeypatch.setattr(token_store, "LOOKED_UP", 3)
+    texts = ["a b", "one two three four five", "c", "d e f g", ""]
+    assert [np.concatenate([*b, []]).tolist() for b in enc.each(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
