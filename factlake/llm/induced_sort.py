@@ -188,7 +188,7 @@ class Scan:
         """Put the predecessors of a block into the queue."""
         k = np.flatnonzero(ok)
         where = symbol[k] // self.step
-        order = np.argsort(where, kind="stable")
+        order = _by_range(where)
         k, where = k[order], where[order]
         if lcp is not None:
             self._push_lcp(pos, k, where, lcp)
@@ -287,6 +287,12 @@ class Scan:
                 pos, key, done = np.insert(pos, where, more_pos), np.insert(key, where, more_key), 0
 
 
+def _by_range(where: np.ndarray) -> np.ndarray:
+    """The stable order of numbers of ranges, of which there are 256 at most:
+    bytes are sorted by counting."""
+    return np.argsort(where.astype(np.uint8), kind="stable")
+
+
 def _tapes(scan: Scan) -> list[Tape]:
     return [Tape(scan.disk, (np.int64, np.int32) if scan.cap else (np.int64,)) for _ in range(scan.n_ranges)]
 
@@ -301,7 +307,7 @@ def induce(text: np.ndarray, size: int, seeds: np.ndarray, disk: Disk, give: Cal
     for at in range(0, len(seeds), BLOCK):  # deal the seeds out by range
         pos = np.asarray(seeds[at: at + BLOCK])
         where = up.symbols(pos) // up.step
-        order = np.argsort(where, kind="stable")
+        order = _by_range(where)
         cuts = (np.flatnonzero(np.diff(where[order])) + 1).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
             k = order[a:b]
@@ -362,19 +368,18 @@ def sorted_minima(text: np.ndarray, size: int, disk: Disk) -> np.ndarray:
 
     induce(text, size, low, disk, collect)
     # name the substrings: one more where neighbours differ
-    names = disk.array(m, np.int64)
-    count = 0
+    reduced = disk.array(m, np.int32)
+    count, place = 0, np.searchsorted(low, by_substring[:1])
     for at in range(1, m, BLOCK * 16):
         b = np.asarray(by_substring[at: at + BLOCK * 16])
         a = np.asarray(by_substring[at - 1: at - 1 + len(b)])
-        names[at: at + len(b)] = count + np.cumsum(_differ(text, low, a, b))
-        count = int(names[at + len(b) - 1])
+        place = np.concatenate((place[-1:], np.searchsorted(low, b)))
+        names = count + np.cumsum(_differ(text, low, a, b, place))
+        reduced[place[1:]] = names
+        count = int(names[-1])
     if count == m - 1:
         return by_substring
-    reduced = disk.array(m, np.int32)
-    for at in range(0, m, BLOCK * 16):
-        reduced[np.searchsorted(low, by_substring[at: at + BLOCK * 16])] = names[at: at + BLOCK * 16]
-    del by_substring, names
+    del by_substring
     small = 32 * m <= disk.budget  # the recursion's end: the names fit into memory
     order = doubled_order(np.asarray(reduced)) if small else suffix_order(reduced, count + 1, disk)
     for at in range(0, m, BLOCK * 16):
@@ -384,29 +389,35 @@ def sorted_minima(text: np.ndarray, size: int, disk: Disk) -> np.ndarray:
 
 def doubled_order(names: np.ndarray) -> np.ndarray:
     """The order of all suffixes of a string of names in memory, by prefixes of
-    twice the length in each round."""
-    m, rank, width = len(names), names.astype(np.int64), 1
+    twice the length in each round. A suffix ranks as the first of those that
+    share its prefix; only these are sorted on."""
+    m, width = len(names), 1
+    order = np.argsort(names, kind="stable")
+    live, key, rank = np.arange(m), names[order], np.empty(m, np.int64)
+    at = order
     while True:
-        key = rank * (m + 1)
-        key[:-width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        rank[order] = new
-        width *= 2
-        if new[-1] == m - 1:
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[at] = live[np.maximum.accumulate(np.where(first, np.arange(len(live)), 0))]
+        several = ~(first & np.append(first[1:], True))
+        live = live[several]
+        if not len(live):
             return order
+        at = order[live]
+        after = at + width
+        key = rank[at] * (m + 1) + np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+        new = np.argsort(key, kind="stable")
+        at, key = at[new], key[new]
+        order[live] = at
+        width *= 2
 
 
-def _differ(text: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the substrings from a and from b to the next minimum differ."""
+def _differ(text: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the substrings from a and from b to the next minimum differ;
+    ``place``: of a's first and of every b among the minima."""
     n = len(text)
-
-    def length(p):
-        k = np.searchsorted(low, p) + 1
-        return np.where(k < len(low), low[np.minimum(k, len(low) - 1)], n - 1) - p
-
-    la, lb = length(a), length(b)
+    k = place + 1
+    size = np.where(k < len(low), low[np.minimum(k, len(low) - 1)], n - 1)
+    la, lb = size[:-1] - a, size[1:] - b
     out = la != lb
     live = np.flatnonzero(~out)
     k = 0

@@ -107,3 +107,13 @@ def test_minima_are_held_within_the_budget():
     tracemalloc.stop()
     assert isinstance(found, np.memmap) and len(found) > 1_000_000 and peak < 40 << 20
     assert (text[found - 1] > text[found]).all() and (np.diff(found) > 1).all()
+
+
+def test_order_of_names_sorts_on_only_what_is_equal(monkeypatch):
+    rng, sizes, argsort = np.random.default_rng(5), [], np.argsort
+    monkeypatch.setattr(induced_sort.np, "argsort", lambda a, **k: sizes.append(len(a)) or argsort(a, **k))
+    for names in ([1, 0], [2, 2, 2, 2, 2, 2, 2, 0], [1, 2, 1, 2, 1, 2, 1, 2, 2, 0], [*rng.integers(1, 4, 300).tolist(), 0], [*range(1000, 0, -1), 7, 7, 0]):
+        sizes.clear()
+        got = induced_sort.doubled_order(np.array(names, np.int32))
+        assert got.tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+    assert len(sizes) > 1 and sum(sizes[1:]) <= 10
