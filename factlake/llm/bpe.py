@@ -13,7 +13,7 @@ for a rule of higher rank, and so on, along a chain of rules with rising rank
 in which each rule's right part is the left part of the one before.
 
 Every pre-token is encoded by this transducer; the ids of words and pre-tokens
-below ``LONG`` bytes are kept in a bounded memo. A text is read in slices that
+below ``LONG`` bytes are kept in a bounded memo, for one task. A text is read in slices that
 end at white space, and the runs of ids go on as they come. Beyond the text
 itself, memory grows only with its longest word, which is normalised whole.
 
@@ -44,10 +44,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WORD_GAP, prepare
+from .common import WORD_GAP, prepare, release
 
 #: Entries of a worker's memo of words, and as many that it had before; it starts anew when full.
-MEMO = 400_000
+MEMO = 200_000
 #: Bytes from which on a word or pre-token is never in the memo.
 LONG = 256
 #: Characters or ids handled at a time.
@@ -263,6 +263,10 @@ class Memo(dict):
             self[word] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
 
 class Parting:
     """A text's words into pre-tokens, as the tokenizer file has it."""
@@ -389,6 +393,13 @@ class Encoder:
                         run.clear()
             yield bytes(run)
 
+    def forget(self) -> None:
+        """Let the memos go, at the end of a task: the worker and its encoder stay
+        through stages that do not encode."""
+        self.memo.forget()
+        self.pieces.forget()
+        release()
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.blocks(text)), "<u4")
 
@@ -468,8 +479,11 @@ def encode_texts(docs: DataFrame, tokenizer: str, text_col: str = "text", out_co
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(tokenizer)
-        for texts in batches:
-            yield pd.Series([b"".join(enc.blocks(t)) for t in texts], dtype=object)
+        try:
+            for texts in batches:
+                yield pd.Series([b"".join(enc.blocks(t)) for t in texts], dtype=object)
+        finally:
+            enc.forget()
 
     return docs.withColumn(out_col, ids(F.col(text_col)))
 
@@ -496,8 +510,11 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc, dec = encoder(tokenizer), decoder(tokenizer)
-        for texts in batches:
-            yield pd.DataFrame([digests(t, enc, dec) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                yield pd.DataFrame([digests(t, enc, dec) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            enc.forget()
 
     out = docs.select(F.col(id_col).alias("_id"), told(F.col(text_col)).alias("_d"))
     return out.select(F.col("_id").alias(id_col), "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")

@@ -59,6 +59,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give back to the system what a Python worker's task has freed. Workers
+    stay for later tasks; what they hold counts beside the stages that run in
+    the JVM alone."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (in any letter case)."""
     have = {c.lower() for c in df.columns}

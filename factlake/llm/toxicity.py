@@ -50,7 +50,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import prepare, release, written
 
 TRAIN_ROWS = 10_000
 #: Words drawn for the training of an ordinary dictionary, and its bytes.
@@ -200,6 +200,8 @@ def _counts(rows: DataFrame) -> DataFrame:
                     yield _context_batch(seen)
                     seen = set()
             yield _context_batch(seen)
+        seen = batch = None
+        release()
 
     each = rows.select("doc", "text", "y").mapInArrow(words, "word binary, around binary, doc long, y int")
     once = each.select("word", "y", F.xxhash64("around").alias("c"), "doc").distinct()
@@ -228,6 +230,8 @@ def _telling(counts: DataFrame) -> dict[bytes, int]:
                     o[x] += b
             yield pa.RecordBatch.from_arrays([pa.array(list(t), pa.binary()), pa.array(list(t.values()), pa.int64()),
                                               pa.array([o[x] for x in t], pa.int64())], ["part", "t", "o"])
+        t = o = batch = None
+        release()
 
     all_t, all_o = (x or 0 for x in counts.agg(F.sum("t"), F.sum("o")).first())
     parts = written(counts.select("word", "t", "o").mapInArrow(spell, "part binary, t long, o long").groupBy("part").agg(
@@ -315,6 +319,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         distance = model.distances()
         for texts in batches:
             yield pd.Series([model.features(t, distance) for t in texts], dtype=object)
+        del distance
+        release()
 
     fitted = rows.select(features("text").alias("x"), "y").collect()  # at most TRAIN_ROWS rows of a few numbers
     model.weights = fit_logistic(np.array([r.x for r in fitted]), np.array([float(r.y > 0) for r in fitted]))
@@ -330,5 +336,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out_col: s
         distance = model.distances() if model.constant is None else None
         for texts in batches:
             yield pd.Series([model.score(t, distance) for t in texts], dtype=float)
+        del distance
+        release()
 
     return docs.withColumn(out_col, score(F.col(text_col)))

@@ -1,6 +1,8 @@
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factlake.llm import bpe
@@ -106,3 +108,17 @@ def test_pairs_are_found_again_after_a_full_memo(monkeypatch, library):
     for t in ("internationalisation of thingsandthe others", "thingsandthe internationalisation"):
         assert enc.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
     assert enc.merges._n_known <= 6 and sum(map(len, enc.merges._known.values())) == enc.merges._n_known
+
+
+def test_workers_keep_no_words_after_a_task(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more words, {i}") for i in range(64)], "doc_id long, text string").repartition(16)
+    path = PATH
+
+    @F.pandas_udf("long")
+    def held(ids: pd.Series) -> pd.Series:
+        enc = bpe.encoder(path)
+        return pd.Series([sum(map(len, (enc.memo, enc.memo.before, enc.pieces, enc.pieces.before)))] * len(ids))
+
+    for made in (bpe.round_trip(docs, path), bpe.encode_texts(docs, path)):
+        assert made.count() == 64 and len(made.collect()) == 64
+        assert spark.range(0, 64, 1, 64).select(held("id").alias("n")).agg(F.max("n")).first()[0] == 0
