@@ -34,14 +34,14 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LATIN_END, Parting
+from .bpe import LATIN_END, MARKS, Parting, byte_alphabet
 from .common import open_store, prepare, shared_folder, written
 
 CHUNK = 8
@@ -52,8 +52,8 @@ SEGMENT = 1 << 20
 END_ID = 1
 #: Rows handled at a time, and words.
 BLOCK, LOOKED_UP = 1 << 16, 1 << 18
-#: Entries of a worker's memos, which start anew when full.
-WORDS, PIECES = 1_000_000, 500_000
+#: Entries of a worker's memo, which starts anew when full.
+WORDS = 1_000_000
 
 _DIR = np.dtype([("offset", "<u8"), ("first", "<u8"), ("n", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("first", "<u8"), ("n", "<u4")])
@@ -219,59 +219,50 @@ class LibraryEncoder:
     """Ids by the tokenizers library through a bounded memo of words: this
     vocabulary's pre-tokens never cross white space, so a text's ids are the
     ids of its words in order. Words new to the memo are parted into pre-tokens,
-    and the library encodes the new ones among these in one call, parted by
-    spaces; each ends in a token with the mark of a word's end. Texts that follow
-    each other are looked up together, so that one call serves many."""
+    which the library's model encodes; words that the parting does not know go
+    through the library whole. Texts that follow each other are looked up
+    together, so that each word is once for many."""
 
     def __init__(self, path: str):
         self.parting = Parting(path)
         self.tokenizer = self.parting.tokenizer
-        vocab = self.parting.spec["model"]["vocab"]
-        suffix = self.parting.spec["model"]["end_of_word_suffix"]
-        self.final = np.zeros(max(vocab.values()) + 1, bool)
-        self.final[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_alphabet()))
+        self.marks = {m: self._piece(m) for m in MARKS}
         self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
 
     def _learn(self, words: Iterable[bytes]) -> list[bytes]:
         """The ids of words new to the memo."""
-        pieces, plain = self.pieces, self.parting.plain
-        if len(pieces) > PIECES:
-            pieces.clear()
-        words = list(words)
-        parts = list(map(plain, words))
-        whole: dict[int, bytes] = {}
-        for i, ps in enumerate(parts):
-            if ps is None:
-                text = words[i].decode("utf-8", "replace")
+        plain, piece, marks, tokenize = self.parting.plain, self._piece, self.marks, self.model.tokenize
+        words, lettered = list(words), self.parting.lettered
+        ids, ends = [], [0]
+        for word in words:
+            if lettered and word.isalpha():  # letters of ASCII, most words: their own only pre-token
+                ids += [t.id for t in tokenize(word.lower().decode())]
+                ends.append(4 * len(ids))
+                continue
+            parts = plain(word)
+            if parts is None:
+                text = word.decode("utf-8", "replace")
                 if "<|" in text or not text.isascii() and max(text) >= LATIN_END:
-                    whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                    parts[i] = ()
+                    ids += self.tokenizer.encode(text, add_special_tokens=False).ids
+                    parts = ()
                 else:
-                    parts[i] = self.parting.parted(text)
-        new = list(set(chain.from_iterable(parts)).difference(pieces))
-        for at in range(0, len(new), 1 << 14):
-            some = new[at: at + (1 << 14)]
-            text = b" ".join(some).decode()
-            # a text that brings a few new ones is not worth waking the library's threads
-            coded = (self.tokenizer.encode(text, add_special_tokens=False) if len(some) < 256
-                     else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
-            ids = np.array(coded.ids, "<u4")
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("a pre-token that the library parts again")
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, (4 * ends).tolist(), strict=True):
-                pieces[p] = raw[begin:end]
-                begin = end
-        out = [pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for ps in parts]
-        for i, ids in whole.items():
-            out[i] = ids
+                    parts = self.parting.parted(text)
+            for p in parts:
+                ids += marks[p] if p in marks else piece(p)
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        out = [raw[begin:end] for begin, end in pairwise(ends)]
         if len(self.memo) + len(words) > WORDS:
             self.memo.clear()
         self.memo.update(zip(words, out, strict=True))
         return out
 
+    def _piece(self, raw: bytes) -> list[int]:
+        """The ids of one pre-token, by the library's model."""
+        return [t.id for t in self.model.tokenize(raw.decode() if raw.isalpha() else raw.decode("latin-1").translate(self.shown))]
+
     def _coded(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of these words. The memo is large and slow to look into: once for each."""
         words = dict.fromkeys(words)

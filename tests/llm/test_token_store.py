@@ -72,3 +72,11 @@ def test_neighbouring_texts_are_learned_at_once(monkeypatch):
     monkeypatch.setattr(token_store, "LOOKED_UP", 3)
     texts = ["a b", "one two three four five", "c", "d e f g", ""]
     assert [np.concatenate([*b, []]).tolist() for b in enc.each(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_latin_words_need_only_the_librarys_model():
+    text = "Alpha beta, don't stop!! x\x01y \x7f ~|~ 3.14 Stra\u00dfe, \u00c9T\u00c9. it's"
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    enc = token_store.LibraryEncoder(PATH)
+    enc.tokenizer = None
+    assert np.concatenate(list(enc.blocks(text))).tolist() == want
