@@ -290,3 +290,56 @@ def test_load_queries_on_repeated_keys(spark, scratch, name, quarters):
     assert sorted({q for q, _ in of["sub"]}) == quarters
     assert [a for _, a in sorted(of["num"], key=lambda x: x[1])] == ["1", "1", "1", "2", "3"]
     assert [a for _, a in sorted(of["pre"], key=lambda x: x[1])] == ["1", "1", "2", "3"]
+
+
+def _filings(spark, folder):
+    """Tables of 40 filings with three lines each, as the fixture views read them."""
+    day = [dt.date(1995 + i % 3, 1 + i % 12, 3) for i in range(40)]
+    orders = [(i, 10 * i, day[i], "2-HIGH", "FPO"[i % 3]) for i in range(40)]
+    items = [(i, 7 * i + n, i + n, n, Decimal(n), Decimal(100 * i + n), Decimal(n % 2), "ANR"[n % 3], "F", day[i])
+             for i in range(40) for n in range(1, 4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string, o_orderstatus string") \
+        .write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity decimal(15,2), "
+                          "l_extendedprice decimal(15,2), l_tax decimal(15,2), l_returnflag string, l_linestatus string, l_shipdate date") \
+        .write.parquet(f"{folder}/lineitem.parquet")
+
+
+def _run_load(spark, scratch, monkeypatch, query, share_bytes):
+    """Rows of a query on these tables; what its files were when it had read them; what it leaves."""
+    from factlake.operators import upsert
+    from factlake.plans import operator_queries as Q
+    from factlake.sources import lake
+    from factlake.sources.fixtures import fixture_tables
+
+    if not os.path.exists(f"{scratch}/tables"):
+        _filings(spark, f"{scratch}/tables")
+    work, files, delete = f"{scratch}/{query}-{share_bytes}", [], lake.remove
+
+    def seen(session, path):
+        files.extend(n for _, _, names in os.walk(path) for n in names if path.startswith(work) and "/lake" not in path and n.startswith("part-"))
+        delete(session, path)
+
+    monkeypatch.setattr(upsert, "SHARE_BYTES", share_bytes)
+    monkeypatch.setattr(Q, "_load_folder", lambda _: work)
+    monkeypatch.setattr(lake, "remove", seen)
+    out = sorted(tuple(r) for r in getattr(Q, query)(fixture_tables(spark, f"{scratch}/tables")).collect())
+    monkeypatch.undo()
+    return out, files, os.listdir(work)
+
+
+def _whole_and_in_shares(spark, scratch, monkeypatch, query):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    rows, files, left = _run_load(spark, scratch, monkeypatch, query, 1 << 40)
+    assert files and all(f.endswith(".gz") for f in files) and left == ["lake"]
+    shared, more, left = _run_load(spark, scratch, monkeypatch, query, 1)
+    assert shared == rows and len(more) > len(files) and left == ["lake"]
+    assert spark.conf.get(name, None) == before
+    return rows
+
+
+def test_roundtrip_keeps_little_on_disk(spark, scratch, monkeypatch):
+    """Files are compressed and go once they are read; written in shares of the filings, the rows are the same."""
+    rows = _whole_and_in_shares(spark, scratch, monkeypatch, "ingest_roundtrip")
+    assert [sum(r[0] == t for r in rows) for t in ("sub", "num", "pre")] == [40, 120, 120]
