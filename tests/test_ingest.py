@@ -343,3 +343,8 @@ def test_roundtrip_keeps_little_on_disk(spark, scratch, monkeypatch):
     """Files are compressed and go once they are read; written in shares of the filings, the rows are the same."""
     rows = _whole_and_in_shares(spark, scratch, monkeypatch, "ingest_roundtrip")
     assert [sum(r[0] == t for r in rows) for t in ("sub", "num", "pre")] == [40, 120, 120]
+
+
+def test_dirty_load_keeps_little_on_disk(spark, scratch, monkeypatch):
+    rows = _whole_and_in_shares(spark, scratch, monkeypatch, "ingest_dirty")
+    assert sum(r[0] == "audit" for r in rows) == 12 and any("missing files: pre" in r[2] for r in rows)
