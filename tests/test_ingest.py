@@ -294,7 +294,7 @@ def test_load_queries_on_repeated_keys(spark, scratch, name, quarters):
 
 def _filings(spark, folder):
     """Tables of 40 filings with three lines each, as the fixture views read them."""
-    day = [dt.date(1995 + i % 3, 1 + i % 12, 3) for i in range(40)]
+    day = [(dt.date(1995, 5, 3), dt.date(1996, 2, 3), dt.date(1996, 8, 3), dt.date(1997, 4, 3))[i % 4] for i in range(40)]
     orders = [(i, 10 * i, day[i], "2-HIGH", "FPO"[i % 3]) for i in range(40)]
     items = [(i, 7 * i + n, i + n, n, Decimal(n), Decimal(100 * i + n), Decimal(n % 2), "ANR"[n % 3], "F", day[i])
              for i in range(40) for n in range(1, 4)]
@@ -317,10 +317,11 @@ def _run_load(spark, scratch, monkeypatch, query, share_bytes):
     work, files, delete = f"{scratch}/{query}-{share_bytes}", [], lake.remove
 
     def seen(session, path):
-        files.extend(n for _, _, names in os.walk(path) for n in names if path.startswith(work) and "/lake" not in path and n.startswith("part-"))
+        files.extend(n for _, _, names in os.walk(path) for n in names if path.startswith(work) and "/lake/" not in path and n.startswith("part-"))
         delete(session, path)
 
     monkeypatch.setattr(upsert, "SHARE_BYTES", share_bytes)
+    monkeypatch.setattr(upsert, "MOST_SHARES", 3)
     monkeypatch.setattr(Q, "_load_folder", lambda _: work)
     monkeypatch.setattr(lake, "remove", seen)
     out = sorted(tuple(r) for r in getattr(Q, query)(fixture_tables(spark, f"{scratch}/tables")).collect())
@@ -347,4 +348,10 @@ def test_roundtrip_keeps_little_on_disk(spark, scratch, monkeypatch):
 
 def test_dirty_load_keeps_little_on_disk(spark, scratch, monkeypatch):
     rows = _whole_and_in_shares(spark, scratch, monkeypatch, "ingest_dirty")
-    assert sum(r[0] == "audit" for r in rows) == 12 and any("missing files: pre" in r[2] for r in rows)
+    assert sum(r[0] == "audit" for r in rows) == 4 and any("missing files: pre" in r[2] for r in rows)
+
+
+def test_incremental_keeps_little_on_disk(spark, scratch, monkeypatch):
+    """Also the second load, which reads its own files and resolves against the lake."""
+    rows = _whole_and_in_shares(spark, scratch, monkeypatch, "ingest_incremental")
+    assert sum(r[0] == "num" for r in rows) == 120 and any(r[1] == "2099q1" and "Amended" in r[2] for r in rows)
