@@ -355,3 +355,8 @@ def test_incremental_keeps_little_on_disk(spark, scratch, monkeypatch):
     """Also the second load, which reads its own files and resolves against the lake."""
     rows = _whole_and_in_shares(spark, scratch, monkeypatch, "ingest_incremental")
     assert sum(r[0] == "num" for r in rows) == 120 and any(r[1] == "2099q1" and "Amended" in r[2] for r in rows)
+
+
+def test_statistics_of_a_lake_written_in_shares(spark, scratch, monkeypatch):
+    rows = _whole_and_in_shares(spark, scratch, monkeypatch, "lake_statistics")
+    assert {r[0]: r[1] for r in rows if r[0] != "tag"} == {"sub": 40, "num": 120, "pre": 120}
