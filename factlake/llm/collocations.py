@@ -15,7 +15,8 @@ stood, dealt out by ranges of the hash; what reaches ``least`` is known to all t
 bit filter of fixed size (``FILTER_BITS``). A filter may let rare phrases through, which costs
 time and changes no count.
 
-Then every shard (the blocks of a task, up to ``SHARD_KEYS`` phrases) builds count transducers from its
+Then every shard (the blocks of a task, up to ``SHARD_KEYS`` phrases) gathers its phrases as arrays, in which they
+meet by hash and are compared word by word, and builds count transducers from its
 sorted phrases of all lengths, one for each prefix range (``count_automata``). Transducers of a
 range meet in one task, which unites them, sums their weights and keeps the phrases with
 ``least`` occurrences: these counts are those of the words themselves, not of hashes.
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -61,8 +62,8 @@ FILTER_BITS = 1 << 27
 HASH_BITS = 48
 #: Blocks and phrases of each from which the cuts of the prefix ranges are taken.
 SAMPLED_BLOCKS, SAMPLED_PHRASES = 8, 2000
-#: Phrases that a task holds before it builds transducers from them.
-SHARD_KEYS = 400_000
+#: Phrases that a task holds, as arrays of some 40 bytes each, before it builds transducers from them.
+SHARD_KEYS = 2_000_000
 #: Bytes of transducers that are united at a time.
 UNITE_BYTES = 32 << 20
 
@@ -296,16 +297,15 @@ def _transducers(level: DataFrame, longest: int, cuts: list[Key], frequent) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = BitFilter(frequent.value)
-        held: Counter = Counter()
+        held = _Shard(longest)
         for batch in batches:
             for _, lang, _, carry, vocabulary, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for key, n in _phrases(lang, carry, vocabulary, ids, longest, known):
-                    held[key] += n
-                if len(held) > SHARD_KEYS:
-                    yield _shard(held, cuts)
-                    held = Counter()
-        if held:
-            yield _shard(held, cuts)
+                held.add(lang, Block(lang, carry, vocabulary, ids), known)
+                if held.size > SHARD_KEYS:
+                    yield held.built(cuts)
+                    held = _Shard(longest)
+        if held.size:
+            yield held.built(cuts)
 
     return level.mapInArrow(count, f"range int, {_AUTOMATON}")
 
@@ -317,12 +317,109 @@ def _phrases(lang: str, carry: int, vocabulary: bytes, ids: bytes, longest: int,
             yield name + key, n
 
 
-def _shard(held: Counter, cuts: list[Key]) -> pa.RecordBatch:
-    keys = sorted(held)
-    # a phrase's range is the number of cuts before it: where the cuts fall among the phrases
-    edges = [0, *(bisect_right(keys, c) for c in cuts), len(keys)]
-    return _automaton_batch([(r, *build((key, held[key]) for key in keys[a:b]).pack())
-                             for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b])  # noqa: B905  one more edge than ranges
+class _Rows:
+    """Phrases of one language and shard: hashes that rise, counts, and the words as numbers (-1 behind the
+    last). Phrases meet by hash and are compared word by word; one whose hash another phrase has is kept aside."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+        self.numbers: dict[bytes, int] = {}
+        self.met = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, longest), np.int32))
+        self.new: list[tuple] = []
+        self.aside: list[tuple] = []
+        self.pending = 0
+
+    def put(self, h: np.ndarray, n: np.ndarray, words: np.ndarray) -> None:
+        self.new.append((h, n, words))
+        self.pending += len(h)
+        if self.pending > max(len(self.met[0]), BLOCK_WORDS):
+            self.merge()
+
+    def merge(self) -> None:
+        h, n, words = (np.concatenate(c) for c in zip(self.met, *self.new, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, n, words = h[order], n[order], words[order]
+        first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        begin = np.flatnonzero(first)
+        other = (words != words[begin[np.cumsum(first) - 1]]).any(axis=1)
+        if other.any():
+            self.aside.append((n[other], words[other]))
+            n = np.where(other, 0, n)
+        self.met = (h[begin], np.add.reduceat(n, begin) if len(h) else n, words[begin])
+        self.new, self.pending = [], 0
+
+    def done(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(words in order, phrases in order as numbers of these, counts)."""
+        self.merge()
+        known = sorted(self.numbers)
+        place = np.empty(len(known) + 1, np.int32)
+        place[-1] = -1
+        place[[self.numbers[w] for w in known]] = np.arange(len(known), dtype=np.int32)
+        n, words = (np.concatenate(c) for c in zip(self.met[1:], *self.aside, strict=True))
+        words = place[words]
+        order = np.lexsort(words.T[::-1])
+        n, words = n[order], words[order]
+        begin = np.flatnonzero(np.concatenate(([len(n) > 0], (words[1:] != words[:-1]).any(axis=1)))[:len(n)])
+        return known, words[begin], np.add.reduceat(n, begin) if len(n) else n
+
+
+class _Shard:
+    """The phrases of some blocks, as arrays until transducers are built from them."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+        self.rows: dict[bytes, _Rows] = {}
+
+    @property
+    def size(self) -> int:
+        return sum(len(r.met[0]) + r.pending for r in self.rows.values())
+
+    def add(self, lang: str, block: Block, known: BitFilter) -> None:
+        own = self.rows.setdefault(lang.encode("utf-8", "replace"), _Rows(self.longest))
+        number = np.full(len(block.words) + 1, -1, np.int32)
+        for k, (at, h) in enumerate(block.hashed(self.longest, known), 1):
+            stood = known(h)
+            at, h = at[stood], h[stood]
+            if not len(at):
+                continue
+            _, found, group, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            starts = at[found]
+            same = np.ones(len(at), bool)
+            for j in range(k):
+                same &= block.ids[at + j] == block.ids[starts[group] + j]
+            if not same.all():  # phrases that share a hash: each is a row of its own
+                n = np.bincount(group[same], minlength=len(found))
+                starts, n, found = np.concatenate((starts, at[~same])), np.concatenate((n, np.ones((~same).sum(), np.int64))), np.concatenate((found, np.flatnonzero(~same)))
+            ids = block.ids[starts[:, None] + np.arange(k)]
+            for w in np.unique(ids[number[ids] < 0]).tolist():
+                number[w] = own.numbers.setdefault(block.words[w], len(own.numbers))
+            words = np.full((len(starts), self.longest), -1, np.int32)
+            words[:, :k] = number[ids]
+            own.put(h[found], n.astype(np.int64), words)
+
+    def built(self, cuts: list[Key]) -> pa.RecordBatch:
+        names = sorted(self.rows)
+        parts = [self.rows.pop(name).done() for name in names]
+        ends = np.cumsum([len(n) for _, _, n in parts]).tolist()
+
+        def key(i: int) -> Key:
+            p = bisect_right(ends, i)
+            known, words, _ = parts[p]
+            return (names[p], *(known[w] for w in words[i - ends[p]].tolist() if w >= 0))
+
+        def items(a: int, b: int) -> Iterator[tuple[Key, int]]:
+            for name, (known, words, n), end in zip(names, parts, ends, strict=True):
+                begin = end - len(n)
+                for x in range(max(a, begin), min(b, end), 4096):
+                    own = slice(x - begin, min(b, end, x + 4096) - begin)
+                    for row, c in zip(words[own].tolist(), n[own].tolist(), strict=True):
+                        yield (name, *(known[w] for w in row if w >= 0)), c
+
+        # a phrase's range is the number of cuts before it: where the cuts fall among the phrases
+        total = ends[-1]
+        edges = [0, *(bisect_right(range(total), c, key=key) for c in cuts), total]
+        return _automaton_batch([(r, *build(items(a, b)).pack())
+                                 for r, (a, b) in enumerate(zip(edges, edges[1:])) if a < b])  # noqa: B905  one more edge than ranges
 
 
 def _automaton_batch(rows: list[tuple]) -> pa.RecordBatch:

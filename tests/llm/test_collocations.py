@@ -86,3 +86,22 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert _run(odd_docs, least=5) == brute(rows, 5, 5)
     assert _run(no_docs) == []
     assert _run(spark.createDataFrame([(None, None)], "lang string, text string")) == []
+
+
+def test_shards_count_words_not_hashes(noise, monkeypatch):
+    """Phrases of many blocks meet as arrays; those that share a hash stay apart, within a block and between blocks."""
+    rng = noise.rng
+    hashed = C.Block.hashed
+    monkeypatch.setattr(C.Block, "hashed", lambda *a: ((at, h % C.np.uint64(5)) for at, h in hashed(*a)))
+    known, held, want = lambda h: C.np.ones(len(h), bool), C._Shard(3), Counter()
+    monkeypatch.setattr(C, "BLOCK_WORDS", 50)
+    for lang in ["en", "de", "en", "en", "und"] * 4:
+        words = sorted({b"a", b"b", b"ab", b"c\xff"})
+        ids = [rng.randint(-1, 3) for _ in range(60)] if lang != "und" else [-1]
+        block = C.zstd.ZstdCompressor().compress(C.np.array(ids, C.np.int32).tobytes())
+        held.add(lang, C.Block(lang, 0, b"\n".join(words), block), known)
+        for k in range(1, 4):
+            want.update((lang.encode(), *(words[x] for x in ids[i: i + k])) for i in range(len(ids) - k + 1) if min(ids[i: i + k]) >= 0)
+    cuts = sorted(want)[10::25]
+    got = [x for r in held.built(cuts).to_pylist() for x in Automaton.unpack(r["labels"], r["shape"], r["counts"]).items()]
+    assert got == sorted(want.items())
