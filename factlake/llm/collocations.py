@@ -63,7 +63,7 @@ HASH_BITS = 48
 #: Blocks and phrases of each from which the cuts of the prefix ranges are taken.
 SAMPLED_BLOCKS, SAMPLED_PHRASES = 8, 2000
 #: Phrases that a task holds, as arrays of some 40 bytes each, before it builds transducers from them.
-SHARD_KEYS = 2_000_000
+SHARD_KEYS = 1_000_000
 #: Bytes of transducers that are united at a time.
 UNITE_BYTES = 32 << 20
 
@@ -301,7 +301,7 @@ def _transducers(level: DataFrame, longest: int, cuts: list[Key], frequent) -> D
         for batch in batches:
             for _, lang, _, carry, vocabulary, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.add(lang, Block(lang, carry, vocabulary, ids), known)
-                if held.size > SHARD_KEYS:
+                if held.size > SHARD_KEYS and held.merged() > SHARD_KEYS:
                     yield held.built(cuts)
                     held = _Shard(longest)
         if held.size:
@@ -374,6 +374,12 @@ class _Shard:
     def size(self) -> int:
         return sum(len(r.met[0]) + r.pending for r in self.rows.values())
 
+    def merged(self) -> int:
+        """The number of different phrases."""
+        for rows in self.rows.values():
+            rows.merge()
+        return self.size
+
     def add(self, lang: str, block: Block, known: BitFilter) -> None:
         own = self.rows.setdefault(lang.encode("utf-8", "replace"), _Rows(self.longest))
         number = np.full(len(block.words) + 1, -1, np.int32)
